@@ -37,6 +37,8 @@ LEAF = 64  # points of a leaf of the R-tree
 FAN = 16
 #: Signatures that a task gathers before it sends them.
 FLUSH = 1_000_000
+#: Ids of documents to verify, 8 bytes each, that may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -300,10 +302,17 @@ def _search(batches: Iterator[pa.RecordBatch], pct: int) -> Iterator[pa.RecordBa
 
 def _verified(pairs: DataFrame, documents: DataFrame, k: int, pct: int, name: str) -> DataFrame:
     """The pairs (a, b) whose sets are linked."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}_ids")
+    wanted = None
+    if ids.count() <= BROADCAST_IDS:
+        wanted = documents.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow().column(0).to_numpy()))
+    else:
+        documents = documents.join(ids, "id", "left_semi")
 
     def sets(batches):
         for batch in batches:
+            if wanted is not None:
+                batch = batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), wanted.value)))
             keys = batch.column(0)
             for first, texts in chunks(batch, "text"):
                 doc, shingle = shingle_sets(texts, k)
@@ -312,7 +321,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, k: int, pct: int, name: st
                     [keys.slice(first, len(texts)), pa.array([shingle[cut[i] : cut[i + 1]].tobytes() for i in range(len(texts))], pa.binary())], ["id", "s"]
                 )
 
-    found = stored(documents.join(ids, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, s binary").groupBy("id").agg(F.max(F.struct(F.length("s"), "s"))["s"].alias("s")), f"{name}_sets")
+    found = stored(documents.select("id", "text").mapInArrow(sets, "id long, s binary").groupBy("id").agg(F.max(F.struct(F.length("s"), "s"))["s"].alias("s")), f"{name}_sets")
 
     def check(batches):
         for b in batches:
@@ -340,6 +349,10 @@ def join(df: DataFrame, k: int = 5, pct: int = 80, doc_id: str = "doc_id", text:
     met = stored(sent.repartition(buckets, "bucket").mapInArrow(_meet, OUT), "met")
     docs = met.filter("kind = 0").groupBy(F.col("a").alias("id")).agg(F.max(F.struct("n", "point")).alias("x")).select("id", "x.n", "x.point")
     edges = met.filter("kind = 1").select("sig", "a", "b")
+    # Of signatures with the same edges one is enough.
+    alike = edges.groupBy("sig").agg(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h"), F.count(F.lit(1)).alias("m"), F.min("a").alias("a"), F.max("b").alias("b"))
+    one = alike.groupBy("h", "m", "a", "b").agg(F.min("sig").alias("sig")).select("sig")
+    edges = stored(edges.join(one, "sig", "left_semi"), "edges")
     pairs = edges.select("a", "b").distinct()
     ends = lambda side: docs.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("point").alias(f"p{side}"))
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tsqc.llm import quality_rules
-from tsqc.llm.common import read_table
+from tsqc.llm import quality_rules, token_counts
+from tsqc.llm.common import new_path, read_table
 
 
 def _tokenizer() -> tuple[str, str]:
@@ -19,12 +19,23 @@ def op1_quality_rules(spark, sf_dir):
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_chars", "base_failed", "kept")
 
 
+def op2_token_counts(spark, sf_dir):
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return token_counts.rollup_of(docs, labels, new_path(spark, "token_rollup")).totals()
+
+
 def op3_suffix_dedup(spark, sf_dir):
     from tsqc.llm import suffix_dedup
 
     return suffix_dedup.dedup(read_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_secret_scans(spark, sf_dir):
+    from tsqc.llm import secret_scans
+
+    return secret_scans.scan(read_table(spark, sf_dir, "documents"), secret_scans.train())
+
+
 def op5_packing(spark, sf_dir):
     from tsqc.llm import packing
 
@@ -52,11 +63,17 @@ def op8_html_extraction(spark, sf_dir):
     return html_extract.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op9_mixing(spark, sf_dir):
+    from tsqc.llm import mixing
+
+    return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_ngram_jaccard_join(spark, sf_dir):
     from tsqc.llm import jaccard_join
 
     return jaccard_join.join(read_table(spark, sf_dir, "documents"), k=4, pct=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_suffix_dedup, op5_packing, op6_language_id, op7_media_columns, op8_html_extraction, op10_ngram_jaccard_join)}
-ORACLES = {"op1_quality_rules": quality_rules.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_suffix_dedup, op4_secret_scans, op5_packing, op6_language_id, op7_media_columns, op8_html_extraction, op9_mixing, op10_ngram_jaccard_join)}
+ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op2_token_counts": token_counts.ORACLE}
