@@ -1,0 +1 @@
+"""Operators: each takes long tables (station, variable, ts, value) and returns DataFrames."""

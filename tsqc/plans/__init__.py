@@ -1,0 +1 @@
+"""Whole pipelines, settings and queries."""
