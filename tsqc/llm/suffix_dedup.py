@@ -7,12 +7,12 @@ in the order of these two are its sparse suffix array. Arrays form a logarithmic
 of about one size are merge-scanned and become one of twice the size. The scan of two orders finds, side by side,
 
 * entries equal in both fingerprints: all windows of the later one start earlier too;
-* entries equal in the first only: their blocks part somewhere within reach of the anchor. Their windows are then entered
-  one by one, by the fingerprint of the window, into a second family, where equal neighbours again tell the later ones.
+* entries equal in the first only: their blocks part somewhere within reach of the anchor. If one side of the anchor is
+  still equal as far as some common window needs, their windows are entered one by one, by the fingerprint of the window, into a second family, where equal neighbours again tell the later ones.
 
 Entries travel packed, to the task that owns their first fingerprint; what a batch finds within itself is settled before
-anything is sent, so a passage sends one entry per batch and different block, however often it repeats. Fingerprints are 64 bits each,
-two for every decision. Earlier means a smaller id, or an earlier start in the same text.
+anything is sent, so a passage sends one entry per batch and different block, however often it repeats. Every decision rests on two fingerprints, of 128
+bits together, or 96 for single windows. Earlier means a smaller id, or an earlier start in the same text.
 
 Defined results: a null text is empty; a text shorter than LENGTH loses nothing; rows of one id count as one document, so
 a repeated row is no copy of itself; a null id comes before all others; an empty table gives no rows; other columns do not matter.
@@ -40,7 +40,10 @@ FLUSH = 1_000_000
 LOOK = 1 << 20
 LEAST = -(1 << 63)
 
-ENTRY = np.dtype([("one", "<u8"), ("two", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "<u4")])
+#: Ids of documents with notes, 8 bytes each, that may be broadcast; with more, all texts are shuffled to meet their notes.
+BROADCAST_IDS = 2_000_000
+
+ENTRY = np.dtype([("one", "<u8"), ("two", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "<u4"), ("left", "<u2"), ("right", "<u2")])
 NOTE = np.dtype([("doc", "<i8"), ("at", "<u4"), ("n", "<u4"), ("ask", "u1")])  # windows at, at + 1, ... of doc; ask: to be entered one by one
 OUT = "kind int, bucket int, blob binary"
 
@@ -74,6 +77,13 @@ def blocks(parts: list[tuple[int, int, bytes]], length: int, k: int) -> np.ndarr
     n = np.diff(np.append(at, len(window)))
     start, mid = window[at], anchor[at]
     out = np.zeros(len(at), ENTRY)
+    # A window holds the k-mer and half the rest on one side at least. Codes of these halves, where a window of the block has them.
+    half = (length - k) // 2
+    side = Rolling(data, seed=8)
+    has = mid - start >= half
+    out["left"][has] = side.of(mid[has] - half, mid[has]) % U64(65535) + U64(1)
+    has = start + n - 1 + length - mid - k >= half
+    out["right"][has] = side.of(mid[has] + k, mid[has] + k + half) % U64(65535) + U64(1)
     owner = np.repeat(np.arange(len(parts)), live)[at]
     out["one"] = code[mid]
     out["two"] = splitmix(Rolling(data, seed=4).of(start, start + n + (length - 1)) + (mid - start).astype(U64) * U64(0x9E3779B97F4A7C15))
@@ -127,11 +137,14 @@ class Levels:
 
 
 def parted(e: np.ndarray) -> np.ndarray:
-    """Entries of an array without equals whose first fingerprint is not theirs alone."""
-    same = e["one"][1:] == e["one"][:-1]
+    """Entries of an array without equals that have the k-mer and one of the halves beside it in common with another; only
+    these can have a window in common."""
     more = np.zeros(len(e), bool)
-    more[1:] |= same
-    more[:-1] |= same
+    for side in ("left", "right"):
+        order = np.lexsort((e[side], e["one"]))
+        same = (e["one"][order][1:] == e["one"][order][:-1]) & (e[side][order][1:] == e[side][order][:-1]) & (e[side][order][1:] > 0)
+        more[order[1:][same]] = True
+        more[order[:-1][same]] = True
     return e[more]
 
 
@@ -248,7 +261,7 @@ def _windows(batches: Iterator[pa.RecordBatch], buckets: int, length: int) -> It
                 at = at[at + length <= len(data)]
                 e = np.zeros(len(at), ENTRY)
                 e["one"] = Rolling(data, seed=5).of(at, at + length)
-                e["two"] = Rolling(data, seed=6, base=0xD1342543DE82EF95).of(at, at + length)
+                e["two"] = Rolling(data, seed=6, base=0xD1342543DE82EF95).of(at, at + length) & U64(0xFFFFFFFF)  # 96 bits in all
                 e["doc"], e["at"], e["n"] = doc, at, 1
                 yield e
 
@@ -270,35 +283,51 @@ def _gathered(found: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _results(ids: list[int], texts: pa.Array, notes: dict[int, np.ndarray], length: int) -> pa.RecordBatch:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), span)
+    rows: list[list] = [[] for _ in kinds]
+    for doc, text in zip(ids, texts.cast(pa.large_binary())):
+        data = text.as_py() or b""
+        mine = notes.get(doc)
+        spans: list[tuple[int, int]] = []
+        if mine is not None:
+            mine = mine[mine["ask"] == 0]
+            step = np.zeros(len(data) + 1, np.int32)
+            start = mine["at"].astype(np.int64)
+            end = start + mine["n"].astype(np.int64) + (length - 1)
+            inside = end <= len(data)
+            np.add.at(step, start[inside], 1)
+            np.add.at(step, end[inside], -1)
+            covered = np.cumsum(step[:-1]) > 0
+            edge = np.flatnonzero(np.diff(covered, prepend=False, append=False))
+            spans = list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+        kept, at = [], 0
+        for s, e in spans:
+            kept.append(data[at:s])
+            at = e
+        kept.append(data[at:])
+        row = (None if doc == LEAST else doc, len(data), sum(e - s for s, e in spans), len(spans), hashlib.sha256(b"".join(kept)).hexdigest(), [{"start": s, "end": e} for s, e in spans])
+        for column, x in zip(rows, row):
+            column.append(x)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for b, notes in _with_notes(batches):
-        rows: list[list] = [[] for _ in kinds]
-        for doc, text in zip(b.column(3).to_pylist(), b.column(4).cast(pa.large_binary())):
-            data = text.as_py() or b""
-            mine = notes.get(doc)
-            spans: list[tuple[int, int]] = []
-            if mine is not None:
-                mine = mine[mine["ask"] == 0]
-                step = np.zeros(len(data) + 1, np.int32)
-                start = mine["at"].astype(np.int64)
-                end = start + mine["n"].astype(np.int64) + (length - 1)
-                inside = end <= len(data)
-                np.add.at(step, start[inside], 1)
-                np.add.at(step, end[inside], -1)
-                covered = np.cumsum(step[:-1]) > 0
-                edge = np.flatnonzero(np.diff(covered, prepend=False, append=False))
-                spans = list(zip(edge[::2].tolist(), edge[1::2].tolist()))
-            kept, at = [], 0
-            for s, e in spans:
-                kept.append(data[at:s])
-                at = e
-            kept.append(data[at:])
-            row = (None if doc == LEAST else doc, len(data), sum(e - s for s, e in spans), len(spans), hashlib.sha256(b"".join(kept)).hexdigest(), [{"start": s, "end": e} for s, e in spans])
-            for column, x in zip(rows, row):
-                column.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+        yield _results(b.column(3).to_pylist(), b.column(4), notes, length)
+
+
+def _noted(notes: DataFrame, ask: bool) -> np.ndarray | None:
+    """Sorted ids that have notes (with ask, such notes); None if they are too many to broadcast."""
+
+    def run(batches):
+        for b in batches:
+            n = np.frombuffer(b"".join(b.column(0).to_pylist()), NOTE)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(n["doc"][n["ask"] == 1] if ask else n["doc"]))], ["id"])
+
+    ids = stored(notes.filter("kind = 0").select("blob").mapInArrow(run, "id long").distinct(), "noted")
+    return np.sort(ids.toArrow().column(0).to_numpy()) if ids.count() <= BROADCAST_IDS else None
 
 
 def dedup(df: DataFrame, length: int = LENGTH, k: int = K, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -324,23 +353,40 @@ def dedup(df: DataFrame, length: int = LENGTH, k: int = K, doc_id: str = "doc_id
 
         return _send(found(), buckets)
 
-    def addressed(batches):
-        for b in batches:
-            ids = b.column(0).to_numpy()
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(n, np.int32)), pa.array(_home(ids, buckets).astype(np.int32)), pa.nulls(n, pa.binary()), b.column(0), b.column(1)], ["kind", "bucket", "blob", "id", "text"]
-            )
-
+    context = df.sparkSession.sparkContext
     joined = "kind int, bucket int, blob binary, id long, text string"
 
-    def meeting(notes: DataFrame) -> DataFrame:
-        """Documents after the notes on them."""
+    def meeting(notes: DataFrame, ids: np.ndarray | None) -> DataFrame:
+        """Documents, those with these ids or all, after the notes on them."""
+        wanted = context.broadcast(ids)
+
+        def addressed(batches):
+            for b in batches:
+                own = b.column(0).to_numpy()
+                if wanted.value is not None:
+                    good = np.isin(own, wanted.value)
+                    b, own = b.filter(pa.array(good)), own[good]
+                n = len(own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.ones(n, np.int32)), pa.array(_home(own, buckets).astype(np.int32)), pa.nulls(n, pa.binary()), b.column(0), b.column(1)], ["kind", "bucket", "blob", "id", "text"]
+                )
+
         both = notes.filter("kind = 0").unionByName(documents.mapInArrow(addressed, joined), allowMissingColumns=True)
         return both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
 
-    sent = documents.mapInArrow(index, OUT)
-    notes = stored(sent.repartition(buckets, "bucket").mapInArrow(lambda it: _meet(it, buckets, True), OUT), "notes")
-    entered = meeting(notes).mapInArrow(lambda it: _windows(it, buckets, length), OUT)
+    notes = stored(documents.mapInArrow(index, OUT).repartition(buckets, "bucket").mapInArrow(lambda it: _meet(it, buckets, True), OUT), "notes")
+    entered = meeting(notes, _noted(notes, True)).mapInArrow(lambda it: _windows(it, buckets, length), OUT)
     single = stored(entered.repartition(buckets, "bucket").mapInArrow(lambda it: _meet(it, buckets, False), OUT), "single")
-    return meeting(notes.unionByName(single)).mapInArrow(lambda it: _cut(it, length), RESULT)
+    every = notes.unionByName(single)
+    ids = _noted(every, False)
+    out = meeting(every, ids).mapInArrow(lambda it: _cut(it, length), RESULT)
+    if ids is None:
+        return out
+    noted = context.broadcast(ids)
+
+    def quiet(batches):
+        for b in batches:
+            b = b.filter(pa.array(~np.isin(b.column(0).to_numpy(), noted.value)))
+            yield _results(b.column(0).to_pylist(), b.column(1), {}, length)
+
+    return out.unionByName(documents.mapInArrow(quiet, RESULT))
