@@ -336,8 +336,10 @@ def _verified(pairs: DataFrame, documents: DataFrame, k: int, pct: int, name: st
                 good.append(bool(linked(np.int64((both[1:] == both[:-1]).sum()), np.int64(len(x)), np.int64(len(y)), pct)))
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    with_a = pairs.join(found.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
-    both = with_a.join(found.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    # Pairs go to the sets of their first ends, if there are few enough; then the second ends' sets meet them by a merge, at every size.
+    ends = F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS // 2 else pairs
+    with_a = found.select(F.col("id").alias("a"), F.col("s").alias("x")).join(ends, "a")
+    both = with_a.join(found.select(F.col("id").alias("b"), F.col("s").alias("y")).hint("merge"), "b")
     return stored(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), f"{name}_links")
 
 
