@@ -42,7 +42,7 @@ def _part(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def to_png(payload: bytes, level: int = 1) -> bytes:
+def to_png(payload: bytes, level: int = 6) -> bytes:
     """8-bit grey, UNIT wide, no filter."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
     raw = np.zeros((len(rows), UNIT + 1), np.uint8)
