@@ -142,13 +142,13 @@ class Shards:
 
 
 def read_back(index: DataFrame, root: str) -> DataFrame:
-    """Per row (digest, shard, at, length) of index, put in the order of the shards: the metadata from the image's header, and
-    what its bytes give."""
+    """Per row (digest, shard, at, length) of index, put in the order of the shards: its place, the metadata from the image's
+    header, and what its bytes give. Digests stay binary; digest is that of the bytes read."""
 
     def get(batches: Iterator[pa.RecordBatch]):
         shards = Shards(root)
-        names = ["digest", "width", "height", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        names = ["digest", "shard", "offset", "length", "width", "height", "payload_bytes", "tail_crc32", "media_bytes", "media_digest", "feature"]
+        kinds = (pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
         for b in batches:
             rows: list[list] = [[] for _ in names]
             for digest, shard, at, length in zip(*(c.to_pylist() for c in b.columns)):
@@ -158,7 +158,7 @@ def read_back(index: DataFrame, root: str) -> DataFrame:
                 sha = hashlib.sha256(payload).digest()
                 if sha != digest:
                     raise ValueError(f"{shard} at {at} doesn't hold {digest.hex()}")
-                row = (digest, width, height, len(payload), sha.hex(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload))
+                row = (sha, shard, at, length, width, height, len(payload), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).digest(), feature(payload))
                 for column, x in zip(rows, row):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names)
@@ -166,7 +166,7 @@ def read_back(index: DataFrame, root: str) -> DataFrame:
 
     return index.select("digest", "shard", "at", "length").mapInArrow(
         get,
-        "digest binary, width long, height long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
+        "digest binary, shard string, offset long, length long, width long, height long, payload_bytes long, tail_crc32 long, media_bytes long, media_digest binary, feature string",
     )
 
 
@@ -177,7 +177,6 @@ def media_columns(df: DataFrame, root: str | None = None, doc_id: str = "doc_id"
     rows = stored(write_shards(df, root, doc_id, text), "media_rows")
     first = rows.groupBy("digest").agg(F.min(F.struct("shard", "at", "length")).alias("x")).select("digest", "x.*")
     # Ranges in order within each task: a shard is read through, not sought through.
-    media = read_back(first.repartitionByRange("shard", "at").sortWithinPartitions("shard", "at"), root)
-    where = first.select("digest", "shard", F.col("at").alias("offset"), "length")
-    found = stored(media.join(where, "digest"), "media_found")
-    return rows.select("doc_id", "n_bytes", "digest").join(found, "digest")
+    found = stored(read_back(first.repartitionByRange("shard", "at").sortWithinPartitions("shard", "at"), root), "media_found")
+    hexed = lambda c: F.lower(F.hex(c))
+    return rows.select("doc_id", "n_bytes", "digest").join(found, "digest").withColumns({"payload_sha256": hexed("digest"), "media_sha256": hexed("media_digest")}).drop("media_digest")
