@@ -172,7 +172,9 @@ def _send(batches: Iterator[pa.RecordBatch], k: int, pct: int, buckets: int) ->
         owners.clear()
         s, hub, other, sig, own = stars(sig, own)
         if len(s):
-            yield _batch(np.ones(len(s), np.int32), (s % U64(buckets)).astype(np.int32), s.view(np.int64), hub, other, None, None)
+            # Edges only pass through the next step, so a crowd's edges are dealt by the hubs of the batches.
+            where = (splitmix(s ^ splitmix(hub.view(U64))) % U64(buckets)).astype(np.int32)
+            yield _batch(np.ones(len(s), np.int32), where, s.view(np.int64), hub, other, None, None)
         to = (sig % U64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         sig, own, to = sig[order], own[order], to[order]
