@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tsqc.llm.common import fresh
+from tsqc.llm.common import fresh, mapped
 
 # Element names of HTML, marks of page furniture, and common words of four languages.
 DROPPED = frozenset("script style noscript template svg iframe object canvas head title select option textarea button datalist audio video map math".split())
@@ -185,4 +185,4 @@ def extract(df: DataFrame, column: str = "html") -> DataFrame:
             texts = [main_text(x) for x in b.column(n).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*b.schema.names[:n], *names])
 
-    return df.select(*(f"`{f.name}`" for f in kept), f"`{column}`").mapInArrow(run, schema)
+    return df.select(*(f"`{f.name}`" for f in kept), f"`{column}`").transform(mapped, run, schema)

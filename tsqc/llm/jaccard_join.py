@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsqc.llm.common import Rolling, chunks, partitions, splitmix, stored, words
+from tsqc.llm.common import Rolling, chunks, mapped, partitions, splitmix, stored, words
 from tsqc.llm.graph import components
 
 U64 = np.uint64
@@ -323,7 +323,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, k: int, pct: int, name: st
                     [keys.slice(first, len(texts)), pa.array([shingle[cut[i] : cut[i + 1]].tobytes() for i in range(len(texts))], pa.binary())], ["id", "s"]
                 )
 
-    found = stored(documents.select("id", "text").mapInArrow(sets, "id long, s binary").groupBy("id").agg(F.max(F.struct(F.length("s"), "s"))["s"].alias("s")), f"{name}_sets")
+    found = stored(documents.select("id", "text").transform(mapped, sets, "id long, s binary").groupBy("id").agg(F.max(F.struct(F.length("s"), "s"))["s"].alias("s")), f"{name}_sets")
 
     def check(batches):
         for b in batches:
@@ -342,15 +342,15 @@ def _verified(pairs: DataFrame, documents: DataFrame, k: int, pct: int, name: st
     ends = F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS // 2 else pairs
     with_a = found.select(F.col("id").alias("a"), F.col("s").alias("x")).join(ends, "a")
     both = with_a.join(found.select(F.col("id").alias("b"), F.col("s").alias("y")).hint("merge"), "b")
-    return stored(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), f"{name}_links")
+    return stored(both.select("a", "b", "x", "y").transform(mapped, check, "a long, b long"), f"{name}_links")
 
 
 def join(df: DataFrame, k: int = 5, pct: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least id that links reach)."""
     documents = df.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     buckets = partitions(df)
-    sent = documents.mapInArrow(lambda it: _send(it, k, pct, buckets), OUT)
-    met = stored(sent.repartition(buckets, "bucket").mapInArrow(_meet, OUT), "met")
+    sent = documents.transform(mapped, lambda it: _send(it, k, pct, buckets), OUT)
+    met = stored(sent.repartition(buckets, "bucket").transform(mapped, _meet, OUT), "met")
     docs = met.filter("kind = 0").groupBy(F.col("a").alias("id")).agg(F.max(F.struct("n", "point")).alias("x")).select("id", "x.n", "x.point")
     edges = met.filter("kind = 1").select("sig", "a", "b")
     # Of signatures with the same edges one is enough.
@@ -367,7 +367,7 @@ def join(df: DataFrame, k: int = 5, pct: int = 80, doc_id: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(linked(most, n, m, pct)))
 
     able = f"least(na, nb) * 100 >= {pct} * greatest(na, nb)"
-    near = pairs.join(ends("a"), "a").join(ends("b"), "b").filter(able).select("a", "b", "na", "nb", "pa", "pb").mapInArrow(prune, "a long, b long")
+    near = pairs.join(ends("a"), "a").join(ends("b"), "b").filter(able).select("a", "b", "na", "nb", "pa", "pb").transform(mapped, prune, "a long, b long")
     near = stored(near, "near")
     links = _verified(near, documents, k, pct, "first")
     label = components(links)
@@ -378,7 +378,7 @@ def join(df: DataFrame, k: int = 5, pct: int = 80, doc_id: str = "doc_id", text:
     left = edges.join(open_sigs, "sig", "left_semi")
     members = left.select("sig", F.col("a").alias("id")).union(left.select("sig", F.col("b").alias("id"))).distinct()
     members = members.join(docs, "id").join(label, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"), "n", "point")
-    more = members.repartition(buckets, "sig").sortWithinPartitions("sig").mapInArrow(lambda it: _search(it, pct), "a long, b long").distinct()
+    more = members.repartition(buckets, "sig").sortWithinPartitions("sig").transform(mapped, lambda it: _search(it, pct), "a long, b long").distinct()
     more = stored(more.join(near, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         links = stored(links.union(_verified(more, documents, k, pct, "second")), "all_links")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsqc.llm.common import CHUNK_BYTES, fresh, splitmix
+from tsqc.llm.common import CHUNK_BYTES, fresh, mapped, splitmix
 
 ORDERS = 3
 BUCKETS = 1 << 16
@@ -105,7 +105,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
             at = np.flatnonzero(have)
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(at)), pa.array(at), pa.array(have[at])], ["lang", "bucket", "n"])
 
-    counts = rows.select("text", "lang").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = rows.select("text", "lang").transform(mapped, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     at = {x: i for i, x in enumerate(languages)}
     table = np.zeros((buckets + 1, len(languages)))
     where = np.array([at[x] for x in counts["lang"].to_pylist()], np.int64)
@@ -139,7 +139,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 post[first : first + len(run)] = np.where(good, like[rows, top] / like.sum(1), 0.0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(languages[best].tolist(), pa.string()), pa.array(post)], [*b.schema.names, *names])
 
-    return df.mapInArrow(score, schema)
+    return df.transform(mapped, score, schema)
 
 
 def held_out(doc_id: str = "doc_id"):

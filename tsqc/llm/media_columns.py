@@ -27,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsqc.llm.common import new_path, stored
+from tsqc.llm.common import mapped, new_path, stored
 
 UNIT = 576
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -117,8 +117,8 @@ def write_shards(df: DataFrame, root: str, doc_id: str = "doc_id", text: str = "
             if out is not None:
                 out.close()
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        put, "doc_id long, n_bytes long, digest binary, shard string, at long, length long"
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).transform(
+        mapped, put, "doc_id long, n_bytes long, digest binary, shard string, at long, length long"
     )
 
 
@@ -164,8 +164,8 @@ def read_back(index: DataFrame, root: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names)
         shards.close()
 
-    return index.select("digest", "shard", "at", "length").mapInArrow(
-        get,
+    return index.select("digest", "shard", "at", "length").transform(
+        mapped, get,
         "digest binary, shard string, offset long, length long, width long, height long, payload_bytes long, tail_crc32 long, media_bytes long, media_digest binary, feature string",
     )
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsqc.llm.common import Rolling, chunks, stored, words
+from tsqc.llm.common import Rolling, chunks, mapped, stored, words
 
 BUCKETS = 1 << 16
 TELLING = 64  # buckets whose words' presence and absence the classifier looks at
@@ -87,7 +87,7 @@ def train(docs: DataFrame, labels: DataFrame, label: Column, bound: int = TRAIN_
             at = np.flatnonzero(have)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(have[at])], ["domain", "bucket", "n"])
 
-    sums = rows.mapInArrow(count, "domain string, bucket long, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = rows.transform(mapped, count, "domain string, bucket long, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toArrow()
     domains = sorted(set(sums["domain"].to_pylist())) or ["unknown"]
     table = np.zeros((BUCKETS + 1, len(domains)))
     if len(sums):
@@ -125,7 +125,7 @@ def fit(members: DataFrame, k: int, target: np.ndarray, steps: int = STEPS) -> l
                 got = np.concatenate(((r * n) @ p, ((p * (n * (r > 0))[:, None]).T @ p).ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(got.size)), pa.array(got)], ["i", "x"])
 
-        found = members.select("n", "p").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+        found = members.select("n", "p").transform(mapped, run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
         out = np.zeros(k + k * k)
         for r in found:
             out[r["i"]] = r["x"]
@@ -169,7 +169,7 @@ def mix(docs: DataFrame, labels: DataFrame, label: Column | None = None, targets
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * k, pa.int32()), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns[:m], pa.array(n), lists], [*b.schema.names[:m], "n", "p"])
 
-    members = stored(source.mapInArrow(member, schema), "members")
+    members = stored(source.transform(mapped, member, schema), "members")
     total = members.agg(F.sum("n")).first()[0] or 0
     shares = np.array([targets.get(d, 0.0) for d in model.domains])
     shares = shares / shares.sum() if shares.sum() else np.full(k, 1 / k)
@@ -180,7 +180,7 @@ def mix(docs: DataFrame, labels: DataFrame, label: Column | None = None, targets
             p = np.array(b.column(m + 1).flatten()).reshape(-1, k)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_rates(p, history))], [*b.schema.names, "rate"])
 
-    rated = members.mapInArrow(rate, T.StructType([*members.schema.fields, T.StructField("rate", T.DoubleType())]))
+    rated = members.transform(mapped, rate, T.StructType([*members.schema.fields, T.StructField("rate", T.DoubleType())]))
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(F.col("rate") + chance).cast("int")
     best = F.get(F.array(*map(F.lit, model.domains)), F.array_position("p", F.array_max("p")).cast("int") - 1)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsqc.llm.common import stored
+from tsqc.llm.common import mapped, stored
 from tsqc.llm.tokens import encoder
 
 #: Parts into which each length is dealt for ranking.
@@ -110,7 +110,7 @@ def cut(df: DataFrame, json_path: str, rank_path: str, capacity: int, doc_id: st
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(pieces, schema)
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).transform(mapped, pieces, schema)
 
 
 def pack(df: DataFrame, json_path: str, rank_path: str, capacity: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -141,6 +141,6 @@ def pack(df: DataFrame, json_path: str, rank_path: str, capacity: int = 1024, do
                 offset.append(at + (rank - first) % n * length)
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], [*names, "sequence_id", "offset"])
 
-    placed = ranked.select(*names, "rank").mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    placed = ranked.select(*names, "rank").transform(mapped, place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     full = whole.select(*names, (F.monotonically_increasing_id() + F.lit(sequences)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return placed.unionByName(full)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tsqc.llm.common import mapped
+
 TRAIN_BOUND = 20_000
 AROUND = 48  # characters looked at on either side
 THRESHOLD = 0.5
@@ -221,8 +223,8 @@ def scan(df: DataFrame, forest: Forest, doc_id: str = "doc_id", text: str = "tex
                 ["doc_id", "start", "end", "kind", "score", "is_secret"],
             )
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, start long, end long, kind string, score double, is_secret boolean"
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).transform(
+        mapped, run, "doc_id long, start long, end long, kind string, score double, is_secret boolean"
     )
 
 
@@ -249,4 +251,4 @@ def redact(df: DataFrame, forest: Forest, text: str = "text", mark: str = "[SECR
                 columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.transform(mapped, run, df.schema)

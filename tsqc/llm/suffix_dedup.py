@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsqc.llm.common import Rolling, partitions, splitmix, stored
+from tsqc.llm.common import Rolling, mapped, partitions, splitmix, stored
 
 U64 = np.uint64
 LENGTH = 100
@@ -326,7 +326,7 @@ def _noted(notes: DataFrame, ask: bool) -> np.ndarray | None:
             n = np.frombuffer(b"".join(b.column(0).to_pylist()), NOTE)
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(n["doc"][n["ask"] == 1] if ask else n["doc"]))], ["id"])
 
-    ids = stored(notes.filter("kind = 0").select("blob").mapInArrow(run, "id long").distinct(), "noted")
+    ids = stored(notes.filter("kind = 0").select("blob").transform(mapped, run, "id long").distinct(), "noted")
     return np.sort(ids.toArrow().column(0).to_numpy()) if ids.count() <= BROADCAST_IDS else None
 
 
@@ -371,15 +371,15 @@ def dedup(df: DataFrame, length: int = LENGTH, k: int = K, doc_id: str = "doc_id
                     [pa.array(np.ones(n, np.int32)), pa.array(_home(own, buckets).astype(np.int32)), pa.nulls(n, pa.binary()), b.column(0), b.column(1)], ["kind", "bucket", "blob", "id", "text"]
                 )
 
-        both = notes.filter("kind = 0").unionByName(documents.mapInArrow(addressed, joined), allowMissingColumns=True)
+        both = notes.filter("kind = 0").unionByName(documents.transform(mapped, addressed, joined), allowMissingColumns=True)
         return both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
 
-    notes = stored(documents.mapInArrow(index, OUT).repartition(buckets, "bucket").mapInArrow(lambda it: _meet(it, buckets, True), OUT), "notes")
-    entered = meeting(notes, _noted(notes, True)).mapInArrow(lambda it: _windows(it, buckets, length), OUT)
-    single = stored(entered.repartition(buckets, "bucket").mapInArrow(lambda it: _meet(it, buckets, False), OUT), "single")
+    notes = stored(documents.transform(mapped, index, OUT).repartition(buckets, "bucket").transform(mapped, lambda it: _meet(it, buckets, True), OUT), "notes")
+    entered = meeting(notes, _noted(notes, True)).transform(mapped, lambda it: _windows(it, buckets, length), OUT)
+    single = stored(entered.repartition(buckets, "bucket").transform(mapped, lambda it: _meet(it, buckets, False), OUT), "single")
     every = notes.unionByName(single)
     ids = _noted(every, False)
-    out = meeting(every, ids).mapInArrow(lambda it: _cut(it, length), RESULT)
+    out = meeting(every, ids).transform(mapped, lambda it: _cut(it, length), RESULT)
     if ids is None:
         return out
     noted = context.broadcast(ids)
@@ -389,4 +389,4 @@ def dedup(df: DataFrame, length: int = LENGTH, k: int = K, doc_id: str = "doc_id
             b = b.filter(pa.array(~np.isin(b.column(0).to_numpy(), noted.value)))
             yield _results(b.column(0).to_pylist(), b.column(1), {}, length)
 
-    return out.unionByName(documents.mapInArrow(quiet, RESULT))
+    return out.unionByName(documents.transform(mapped, quiet, RESULT))
