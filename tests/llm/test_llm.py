@@ -312,6 +312,24 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(table(spark, []), labels).count() == 0
 
 
+def test_mixing_recall_of_each_domain_in_each_language(spark):
+    sf = SF.replace("0.001", "0.1")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    even = labels.filter("pmod(crc32(cast(cast(doc_id AS string) AS binary)), 2) = 0")
+    model = mixing.train(docs, even, mixing.domain())
+    rows = docs.join(labels.join(even, "doc_id", "left_anti"), "doc_id").select("lang", mixing.domain().alias("domain"), "text").collect()
+    _, p = model.posteriors([(x.text or "").encode() for x in rows])
+    hits, size, wrong = collections.Counter(), collections.Counter(), 0
+    for x, best in zip(rows, p.argmax(1)):
+        size[x.lang, x.domain] += 1
+        hits[x.lang, x.domain] += model.domains[best] == x.domain
+        wrong += x.domain == "clean" and model.domains[best] != "clean"
+    recall = {key: hits[key] / size[key] for key in size}
+    assert all(recall[x, "clean"] > 0.85 and recall[x, "low"] > 0.8 for x in ("en", "de", "fr", "es")), recall
+    assert recall["en", "toxic"] > 0.8 and recall["de", "toxic"] > 0.6 and recall["fr", "toxic"] > 0.6 and recall["es", "toxic"] > 0.15, recall
+    assert wrong < 150
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

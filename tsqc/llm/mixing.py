@@ -1,19 +1,20 @@
 """Mixing sources to target weights by soft membership.
 
-A classifier trained on a labelled table (naive Bayes over the presence and absence of the hashed words that tell domains apart best) gives
-each document posteriors p over domains. Rates r >= 0 per document are fitted by projected gradient so that the expected
+A classifier trained on a labelled table (naive Bayes over the presence and absence of all hashed words that tell domains apart within a
+language, summed over languages and calibrated on labelled rows that its counts did not see) gives each document posteriors p over domains. Rates r >= 0 per document are fitted by projected gradient so that the expected
 domain totals, the sums of r * tokens * p, match targets: each step moves a document by its posteriors times the residuals (scaled by
 the small matrix of sums of tokens * p * p over documents above 0) and cuts at 0. A step is one pass over the table of documents, tokens and
 posteriors that returns one row of sums per batch; only those sums and K x K numbers reach the driver, and a document's rate is replayed from the
 steps' K-vectors, so no state is kept per document.
 
-Defined results: a null or empty text has 0 tokens and the prior's posteriors (of a text without telling words); repeated rows have rates each; a label
+Defined results: a null or empty text has 0 tokens and the posteriors of a text without telling words; repeated rows have rates each; a label
 counts once per id; without labels there is one domain, `unknown`, and all rates are 1; an empty table gives no rows; null ids have no label.
 Targets of domains that no document belongs to cannot be met and are left out.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,13 @@ from pyspark.sql import types as T
 from tsqc.llm.common import Rolling, chunks, mapped, stored, words
 
 BUCKETS = 1 << 16
-TELLING = 64  # buckets whose words' presence and absence the classifier looks at
+#: A bucket tells domains apart in a language if some domain's count has this evidence (a chi-square term). Where fewer texts than this share
+#: of the language have a telling bucket, each domain has its own probability; otherwise only domains with the evidence have.
+EVIDENCE = 6.0
+RARE = 0.05
+#: Languages with fewer labelled rows are learned together.
+LANGUAGE_ROWS = 200
+FLOOR = -60.0  # of log posteriors before calibration
 #: Labelled documents used for training: those with the smallest hashes of their ids, about so many.
 TRAIN_BOUND = 20_000
 STEPS = 40
@@ -45,35 +52,113 @@ def _buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return doc, (Rolling(data, seed=20).of(start, end - stop) % np.uint64(BUCKETS)).astype(np.int64)
 
 
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(-1, keepdims=True)
+    return top + np.log(np.exp(x - top).sum(-1, keepdims=True))
+
+
 @dataclass
 class Classifier:
     domains: list[str]
-    weight: np.ndarray  # bucket x domain
+    row: np.ndarray  # of each bucket in weight; -1 if it tells nothing
+    weight: np.ndarray  # telling bucket x (language, domain)
     prior: np.ndarray
+    scale: np.ndarray  # calibration of log posteriors: x @ scale + shift
+    shift: np.ndarray
 
-    def posteriors(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Words and posteriors of each text. A telling bucket counts once per text."""
+    def raw(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Words and log posteriors before calibration of each text. A telling bucket counts once per text."""
         doc, bucket = _buckets(texts)
         n = np.bincount(doc, minlength=len(texts))
-        telling = self.weight[bucket].any(1)
+        telling = self.row[bucket] >= 0
         pair = np.unique(doc[telling] * BUCKETS + bucket[telling])
+        own, row = pair // BUCKETS, self.row[pair % BUCKETS]
         score = np.tile(self.prior, (len(texts), 1))
-        np.add.at(score, pair // BUCKETS, self.weight[pair % BUCKETS])
-        score = np.exp(score - score.max(1, keepdims=True))
-        return n, score / score.sum(1, keepdims=True)
+        at = np.flatnonzero(np.diff(own, prepend=-1))
+        for c in range(0, len(self.prior) if len(at) else 0, 16):
+            score[own[at], c : c + 16] += np.add.reduceat(self.weight[row, c : c + 16], at, axis=0, dtype=np.float64)
+        score = _log_sum(score.reshape(len(texts), -1, len(self.domains)).transpose(0, 2, 1))[..., 0]
+        return n, np.maximum(score - _log_sum(score), FLOOR)
 
+    def posteriors(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Words and posteriors of each text."""
+        n, score = self.raw(texts)
+        score = score @ self.scale + self.shift
+        return n, np.exp(score - _log_sum(score))
+
+
+def _learn(domains: list[str], tables: list[np.ndarray]) -> Classifier:
+    """From a table (bucket x domain, with the numbers of texts below) for each language."""
+    k = len(domains)
+
+    def shares(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        texts, table = table[BUCKETS].astype(float), table[:BUCKETS].astype(float)
+        overall = ((table.sum(1) + 0.5) / (texts.sum() + 1))[:, None]
+        expected = overall * texts
+        evidence = (table - expected) ** 2 / (expected * (1 - overall) + 1)
+        own = (evidence >= EVIDENCE) | ((overall < RARE) & (evidence.max(1, keepdims=True) >= EVIDENCE))
+        return np.where(own, (table + overall) / (texts + 1), overall), own.any(1)
+
+    live = np.zeros(BUCKETS, bool)
+    for t in tables:
+        live |= shares(t)[1]
+    share = np.concatenate([shares(t)[0][live] for t in tables], 1)
+    texts = np.concatenate([t[BUCKETS] for t in tables]) + 1.0
+    row = np.full(BUCKETS, -1, np.int32)
+    row[live] = np.arange(live.sum())
+    weight = np.log(share / (1 - share)).astype(np.float32)
+    return Classifier(domains, row, weight, np.log(texts / texts.sum()) + np.log(1 - share).sum(0), np.eye(k), np.zeros(k))
+
+
+def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """scale and shift of the most likely softmax(x @ scale + shift) for the domains y, drawn a little to (1, 0), by damped Newton steps."""
+    k = x.shape[1]
+    start = np.concatenate((np.eye(k), np.zeros((1, k))))
+    if k < 2 or not len(x):
+        return start[:k], start[k]
+    x, hot = np.concatenate((x, np.ones((len(x), 1))), 1), np.eye(k)[y]
+
+    def loss(w: np.ndarray) -> float:
+        s = x @ w
+        return float((_log_sum(s)[:, 0] - (s * hot).sum(1)).sum() + ((w - start) ** 2).sum() / 2)
+
+    w, have = start, loss(start)
+    for _ in range(50):
+        p = np.exp(x @ w - _log_sum(x @ w))
+        slope = (x.T @ (p - hot) + w - start).T.ravel()
+        curve = np.block([[(x * (p[:, i] * ((i == j) - p[:, j]))[:, None]).T @ x for j in range(k)] for i in range(k)]) + np.eye(len(slope))
+        step = np.linalg.solve(curve, slope).reshape(k, k + 1).T
+        damp = 1.0
+        while damp > 1e-4 and loss(w - damp * step) > have:
+            damp /= 2
+        new = loss(w - damp * step)
+        if new > have - 1e-6:
+            break
+        w, have = w - damp * step, new
+    return w[:k], w[k]
 
-def train(docs: DataFrame, labels: DataFrame, label: Column, bound: int = TRAIN_BOUND, doc_id: str = "doc_id", text: str = "text") -> Classifier:
+
+def train(docs: DataFrame, labels: DataFrame, label: Column, bound: int = TRAIN_BOUND, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Classifier:
+    """The column lang is used if docs has it."""
     named = labels.select(F.col(doc_id).alias("k"), label.alias("domain")).filter("k IS NOT NULL AND domain IS NOT NULL").groupBy("k").agg(F.min("domain").alias("domain"))
     n = named.count()
     part = 1_000_000
     used = named.filter(F.pmod(F.xxhash64("k"), F.lit(part)) < int(part * min(1.0, bound / max(1, n))))
-    rows = docs.select(F.col(doc_id).alias("k"), F.col(text).cast("string").alias("text")).join(used, "k").select("text", "domain")
+    tongue = F.coalesce(F.col(lang).cast("string"), F.lit("")) if lang in docs.columns else F.lit("")
+    rows = docs.select(F.col(doc_id).alias("k"), F.col(text).cast("string").alias("text"), tongue.alias("lang")).join(used, "k")
+    rows = rows.select("text", "domain", "lang", F.pmod(F.xxhash64("k", F.lit("fold")), F.lit(2)).alias("fold"))
 
     def count(batches):
         found: dict[str, np.ndarray] = {}
+
+        def send():
+            for name, have in found.items():
+                at = np.flatnonzero(have)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(have[at])], ["name", "bucket", "n"])
+            found.clear()
+
         for b in batches:
-            names = np.array(b.column(1).to_pylist(), object)
+            names = np.array([json.dumps(x) for x in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))], object)
             for first, texts in chunks(b, "text"):
                 doc, bucket = _buckets(texts)
                 pair = np.unique(doc * BUCKETS + bucket)
@@ -83,25 +168,46 @@ def train(docs: DataFrame, labels: DataFrame, label: Column, bound: int = TRAIN_
                     mine = own == name
                     have[:BUCKETS] += np.bincount(pair[mine[pair // BUCKETS]] % BUCKETS, minlength=BUCKETS)
                     have[BUCKETS] += int(mine.sum())
-        for name, have in found.items():
-            at = np.flatnonzero(have)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(have[at])], ["domain", "bucket", "n"])
-
-    sums = rows.transform(mapped, count, "domain string, bucket long, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    domains = sorted(set(sums["domain"].to_pylist())) or ["unknown"]
-    table = np.zeros((BUCKETS + 1, len(domains)))
-    if len(sums):
-        table[sums["bucket"].to_numpy(), [domains.index(x) for x in sums["domain"].to_pylist()]] = sums["n"].to_numpy()
-    texts, table = table[BUCKETS] + 1.0, table[:BUCKETS]
-    share = (table + 0.5) / (texts + 1)
-    overall = (table.sum(1) + 0.5) / (texts.sum() + 1)
-    expected = overall[:, None] * texts
-    evidence = ((table - expected) ** 2 / (expected + 1)).max(1)
-    live = np.argsort(-evidence, kind="stable")[:TELLING]
-    live = live[evidence[live] >= 10]
-    weight = np.zeros_like(share)
-    weight[live] = np.log(share[live] / (1 - share[live]))
-    return Classifier(domains, weight, np.log(texts / texts.sum()) + np.log(1 - share[live]).sum(0))
+                    if len(found) > 64:
+                        yield from send()
+        yield from send()
+
+    sums = rows.transform(mapped, count, "name string, bucket long, n long").groupBy("name", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    named_sums = sums.column("name").combine_chunks().dictionary_encode()
+    keys = [json.loads(x) for x in named_sums.dictionary.to_pylist()]
+    code, bucket, number = named_sums.indices.to_numpy(), sums.column("bucket").to_numpy(), sums.column("n").to_numpy()
+    domains = sorted({d for d, _, _ in keys}) or ["unknown"]
+    texts = dict.fromkeys((x[1] for x in keys), 0)
+    for c, m in zip(code[bucket == BUCKETS].tolist(), number[bucket == BUCKETS].tolist()):
+        texts[keys[c][1]] += m
+    languages = sorted(x for x in texts if texts[x] >= LANGUAGE_ROWS)
+    place = {x: i for i, x in enumerate(languages)}
+    others = len(languages) < len(texts) or not languages
+    folds = np.zeros((2, len(languages) + others, BUCKETS + 1, len(domains)), np.int32)
+    for c, (d, x, fold) in enumerate(keys):
+        at = code == c
+        folds[fold, place.get(x, len(languages)), bucket[at], domains.index(d)] += number[at].astype(np.int32)
+    model = _learn(domains, list(folds.sum(0, dtype=np.int32)))
+    if len(domains) < 2:
+        return model
+    # Each fold is scored by what the other one taught.
+    halves = docs.sparkSession.sparkContext.broadcast([_learn(domains, list(folds[1])), _learn(domains, list(folds[0]))])
+
+    def seen(batches):
+        for b in batches:
+            fold, at = b.column(3).to_numpy(), pa.array([domains.index(x) for x in b.column(1).to_pylist()], pa.int64())
+            x = np.zeros((b.num_rows, len(domains)))
+            for first, run in chunks(b, "text"):
+                for i in (0, 1):
+                    mine = np.flatnonzero(fold[first : first + len(run)] == i)
+                    if len(mine):
+                        x[first + mine] = halves.value[i].raw([run[j] for j in mine])[1]
+            yield pa.RecordBatch.from_arrays([at, pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(domains), pa.int32()), pa.array(x.ravel()))], ["y", "x"])
+
+    found = rows.transform(mapped, seen, "y long, x array<double>").toArrow()
+    x = found.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(domains))
+    model.scale, model.shift = _calibrated(x, found.column("y").to_numpy())
+    return model
 
 
 def _rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
