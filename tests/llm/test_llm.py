@@ -132,6 +132,14 @@ def test_suffix_dedup_repeated_rows_are_one_document(spark):
     assert sorted((x.doc_id, x.n_removed > 0) for x in got) == [(1, False), (1, False), (2, True)]
 
 
+def test_suffix_dedup_of_a_very_long_text(spark):
+    rng = np.random.default_rng(4)
+    long = rng.integers(97, 123, (1 << 24) + 200_000, dtype=np.uint8).tobytes().decode()
+    late = long[-100_000:-99_000]  # starts beyond 16 MiB
+    rows = {x.doc_id: (x.n_removed, x.spans) for x in suffix_dedup.dedup(table(spark, [long, "#" * 50 + late + "+" * 50, long[:500]])).collect()}
+    assert rows[0][0] == 0 and rows[1] == (1000, [(50, 1050)]) and rows[2][0] == 500
+
+
 def test_levels_grow_geometrically():
     levels = suffix_dedup.Levels()
     rng = np.random.default_rng(1)

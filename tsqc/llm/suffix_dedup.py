@@ -35,6 +35,8 @@ LENGTH = 100
 K = 40
 #: A longer text is cut into parts of so many bytes, which overlap by LENGTH - 1.
 PART = 4 << 20
+#: Bits of a position among the bytes that blocks() is given at once: LOOK + PART + LENGTH at most.
+PLACE = 24
 #: Entries that a task gathers before it sends them, and bytes it looks at together.
 FLUSH = 1_000_000
 LOOK = 1 << 20
@@ -54,11 +56,13 @@ def blocks(parts: list[tuple[int, int, bytes]], length: int, k: int) -> np.ndarr
     if not parts:
         return np.zeros(0, ENTRY)
     data = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
+    if len(data) > 1 << PLACE:
+        raise ValueError(f"{len(data)} bytes at once, of which only {1 << PLACE} have positions")
     size = np.array([len(p[2]) for p in parts])
     begin = np.cumsum(size) - size
     rolling = Rolling(data, seed=3)
     code = rolling.windows(k)
-    low = U64((1 << 24) - 1)
+    low = U64((1 << PLACE) - 1)
     least = (code & ~low) | np.arange(len(code), dtype=U64)
     span, want = 1, length - k + 1
     while span * 2 <= want:
@@ -345,9 +349,9 @@ def dedup(df: DataFrame, length: int = LENGTH, k: int = K, doc_id: str = "doc_id
                         part = data[at : at + PART + length - 1]
                         held.append((doc, at, part))
                         n += len(part)
-                    if n >= LOOK:
-                        yield blocks(held, length, k)
-                        held, n = [], 0
+                        if n >= LOOK:
+                            yield blocks(held, length, k)
+                            held, n = [], 0
                 if held:
                     yield blocks(held, length, k)
 
