@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsqc.llm import jaccard_join, language_id, mixing, packing, secret_scans
-from tsqc.llm.common import fresh, new_path, read_table
+from tsqc.llm.common import fresh, new_path, read_table, stored
 from tsqc.llm.queries import _tokenizer
 
 #: A text whose likeliest language has a smaller posterior has no clear language.
@@ -25,10 +25,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an id are no one's copy and stay."""
-    groups = jaccard_join.join(docs, k=5, pct=80)
-    first = groups.filter("doc_id = component_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """One row of each group stays: that of the least id, null ids last. Rows are compared by keys of their own, so null and
+    repeated ids are judged like others. A text without words is no one's copy."""
+    key = fresh(docs.columns, "row_key")
+    # Written first, so that a row has the same key whenever it is read.
+    keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    groups = jaccard_join.join(keyed, k=5, pct=80, doc_id=key).select(F.col("doc_id").alias(key), "component_id")
+    own = keyed.select(key, F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(key).alias("row")).alias("rank"))
+    first = groups.join(own, key).groupBy("component_id").agg(F.min("rank")["row"].alias(key)).select(key)
+    return keyed.join(first, key, "left_semi").select(*(f"`{c}`" for c in docs.columns))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

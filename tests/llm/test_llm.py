@@ -348,3 +348,14 @@ def test_pipeline_stages(spark):
     near = corpus_pipeline.near_copies(spark, docs, SF)
     assert sorted(x.doc_id for x in near.collect()) == [0, 2, 3, 4] and near.columns == docs.columns
     assert sorted(x.doc_id for x in corpus_pipeline.language(spark, docs, SF).collect()) == [0, 1, 4]
+
+
+def test_pipeline_judges_each_row(spark):
+    import corpus_pipeline
+
+    one, two, three = prose(60, 1), prose(80, 2), prose(60, 3)
+    rows = [(None, one), (None, one + " x"), (4, one), (4, one), (5, two), (5, three), (6, three + " y"), (7, two), (None, prose(60, 4)), (None, prose(60, 4)), (8, None), (None, None)]
+    docs = table(spark, [t for _, t in rows], [i for i, _ in rows])
+    kept = corpus_pipeline.near_copies(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted((str(x.doc_id), str(x.text)) for x in kept.collect()) == sorted([("4", one), ("5", two), ("5", three), ("None", prose(60, 4)), ("8", "None"), ("None", "None")])

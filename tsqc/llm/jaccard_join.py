@@ -16,7 +16,7 @@ different components is found; links within one component are not needed.
 
 Shingles are 64-bit hashes. Defined results: a text with fewer words than a shingle is one shingle, the whole sequence;
 a null text or one without words has no shingle and no links; equal sets are linked; repeated ids are one document, whose
-shingles are those of its longest set; an empty table gives no rows; other columns do not matter.
+shingles are those of its longest set; a row with a null id is left out; an empty table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
