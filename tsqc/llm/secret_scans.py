@@ -33,8 +33,8 @@ SHAPES = {
     "cloud_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
     "platform_token": r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})",
     "web_token": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}-----END [A-Z ]*PRIVATE KEY-----",
-    "assigned": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|auth|bearer|access[_-]?key|client[_-]?secret)\b)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<v>[^\s\"',;]{8,})",
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s*(?:[A-Za-z][A-Za-z0-9-]{0,40}:[^\n]{0,400}\n\s*){0,20}[A-Za-z0-9+/=\s]{16,}-----END [A-Z ]*PRIVATE KEY-----",
+    "assigned": r"(?:\b[A-Za-z0-9_-]{0,64}?)?(?i:password|passwd|pwd|secret|token|api[_-]?key|auth|bearer|access[_-]?key|client[_-]?secret)(?:s|[0-9]{1,4})?(?:[_-][A-Za-z0-9_-]{0,64}|[A-Z][a-z0-9][A-Za-z0-9_-]{0,64})?\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<v>[^\s\"',;]{8,})",
     "opaque": r"\b(?=[A-Za-z_+/-]{0,64}[0-9])(?=[0-9_+/-]{0,64}[A-Za-z])[A-Za-z0-9_+/-]{20,}={0,2}",
 }
 SECRET_WORDS = "password passwd pwd secret token api key apikey auth authorization bearer credential credentials private access login".split()
@@ -43,8 +43,16 @@ COMMON_WORDS = "able about access account after again all also and any are back
 FEATURES = "length transitions entropy digits upper lower other hex dictionary vowels path url assigned quoted secret_near harmless_near shape repeat".split()
 
 PATTERN = re.compile("|".join(f"(?P<{k}>{v})" for k, v in SHAPES.items()))
-# Any candidate but a private key holds a digit or one of these words, so a text without them is passed over.
-HINT = re.compile(r"[0-9]|PRIVATE KEY|(?i:password|passwd|pwd|secret|token|key|auth|bearer)")
+# What each shape cannot do without. A text with none of it has no candidate and is passed over.
+HINTS = {
+    "cloud_key": "AKIA|ASIA",
+    "platform_token": "gh[pousr]_|xox[abprs]-|sk_(?:live|test)_|AIza",
+    "web_token": "eyJ",
+    "private_key": "PRIVATE KEY",
+    "assigned": "(?i:password|passwd|pwd|secret|token|key|auth|bearer)",
+    "opaque": "[0-9]",
+}
+HINT = re.compile("|".join(HINTS[k] for k in SHAPES))
 WORD = re.compile(r"[A-Za-z]+")
 COMMON = frozenset(w for w in COMMON_WORDS if len(w) > 3)
 
