@@ -254,6 +254,20 @@ def test_token_rollup_is_idempotent(spark, tmp_path):
     assert [(x.docs, x.tokens) for x in store.compact(str(tmp_path / "c")).totals().collect()] == [(2, 2)]
 
 
+def test_token_rollup_replay_after_compaction(spark, tmp_path):
+    df = table(spark, ["a b", "c", None]).withColumn("tokens", token_counts.counter("words", 1))
+    add = token_counts.changes(df, ("words", 1, 1, "tokens"))
+    totals = lambda x: [(r.docs, r.tokens) for r in x.totals().collect()]
+    store = token_counts.Rollup(spark, str(tmp_path / "r"))
+    assert store.commit("1", add) and store.commit("2", add)
+    once = store.compact(str(tmp_path / "c"))
+    assert not once.commit("1", add) and not once.commit("2", add) and totals(once) == [(6, 6)]
+    assert once.commit("3", add)
+    twice = once.compact(str(tmp_path / "d"))
+    assert not any(twice.commit(i, add) for i in "123") and totals(twice) == [(9, 9)]
+    assert totals(store.compact(str(tmp_path / "r"))) == [(6, 6)] and not store.commit("1", add)  # in its own folder
+
+
 def test_media_round_trip(spark, tmp_path):
     texts = [*ODD, prose(400, 1), "é" * 288, "same", "same"]
     root = f"file://{tmp_path}/media"

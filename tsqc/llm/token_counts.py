@@ -3,7 +3,7 @@
 A batch of changes holds inserts (+1), deletes (-1) and revisions (the old count at -1 and the new one at +1). Its sums by
 key are written in one batch folder, which counts once Spark has put its _SUCCESS mark there. A batch id that is
 committed is not written again, and a retry of one that is not overwrites it, so commits are idempotent. Totals add up
-the committed folders; compact() folds them into one. Only sums by key are stored or shuffled, pre-aggregated in the map
+the committed folders; compact() folds them into one, with a list of the batches in it, which are not written again either. Only sums by key are stored or shuffled, pre-aggregated in the map
 tasks, so a hot source costs no more than another.
 
 Defined results: a null text has 0 tokens; null sources and languages are keys of their own; repeated rows count each;
@@ -40,17 +40,27 @@ class Rollup:
         jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm_path
 
-    def committed(self) -> list[str]:
-        """Batch folders with a mark, but for those that a compacted folder holds."""
+    def _marked(self) -> list[str]:
         fs, root = self._fs(self.path)
         if not fs.exists(root):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(root) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(names)
+        return sorted(s.getPath().getName() for s in fs.listStatus(root) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+
+    def folded(self) -> set[str]:
+        """Folders, here or in the rollups that this one comes from, whose sums compacted folders hold."""
+        names = self._marked()
+        lists = [f"{self.path}/{n}" for n in names if n.startswith("folded=") and "batch=" + n.removeprefix("folded=") in names]
+        return {r["name"] for r in self.spark.read.schema("name string").parquet(*lists).collect()} if lists else set()
+
+    def committed(self) -> list[str]:
+        """Batch folders with a mark, but for those that a compacted folder holds."""
+        held = self.folded()
+        return [n for n in self._marked() if n.startswith("batch=") and n not in held]
 
     def commit(self, batch_id: str, batch: DataFrame) -> bool:
         """Whether the batch was new."""
-        if f"batch={batch_id}" in self.committed():
+        name = f"batch={batch_id}"
+        if name in self.committed() or name in self.folded():
             return False
         sums = batch.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         sums.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
@@ -68,7 +78,12 @@ class Rollup:
         new = Rollup(self.spark, into)
         names = self.committed()
         if names:
-            new.commit("upto-" + names[-1].removeprefix("batch="), self.totals())
+            name = "upto-" + names[-1].removeprefix("batch=")
+            if f"batch={name}" not in new._marked():
+                # Counts only once the batch has its mark, so it is written first.
+                held = self.spark.createDataFrame([(n,) for n in sorted({*names, *self.folded()})], "name string")
+                held.coalesce(1).write.mode("overwrite").parquet(f"{into.rstrip('/')}/folded={name}")
+            new.commit(name, self.totals())
         return new
 
 
