@@ -101,6 +101,15 @@ def test_rtree_bound_never_loses(spark):
                 assert j in found
 
 
+def test_cut_off_counts_give_no_bound():
+    n = np.array([20_000_000, 20_000_000, 100])
+    shape = (1, jaccard_join.DIMS)
+    point = np.concatenate((np.full((2, jaccard_join.DIMS), 0xFFFF, np.uint16), np.ones(shape, np.uint16)))  # of 156,250 shingles a group
+    tree = jaccard_join.RTree(point, n, 85)
+    assert sorted(tree.search(point[0], int(n[0])).tolist()) == [0, 1]
+    assert jaccard_join._bound(point[0], point[1]) >= n[0] and jaccard_join._bound(point[0], point[2]) == jaccard_join.DIMS
+
+
 def brute_suffix(rows, length):
     seen, out = set(), {}
     for i, t in sorted(rows):

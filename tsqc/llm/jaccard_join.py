@@ -7,7 +7,7 @@ Shingles are hashed into groups. Two uses of the groups find the pairs:
   least id among them, first within each batch and then over all batches, so a crowd costs one edge per member, not all
   pairs. Sizes are classed by the similarity, so only sets that can be linked meet; groups per set follow its size.
 * Count vectors. Each set is a point of DIMS group counts. The overlap of two sets is at most the sum of their coordinate
-  minima; an edge that falls short is dropped unverified.
+  minima; an edge that falls short is dropped unverified. A count cut off at MOST in both gives no bound.
 
 Surviving edges are verified on the sets themselves. Where an edge of a signature fails and its ends are not in one component
 otherwise, all members of that signature are searched again by an R-tree over their points (boxes bound the overlap by
@@ -33,6 +33,7 @@ from tsqc.llm.graph import components
 
 U64 = np.uint64
 DIMS = 128
+MOST = 0xFFFF
 LEAF = 64  # points of a leaf of the R-tree
 FAN = 16
 #: Signatures that a task gathers before it sends them.
@@ -131,9 +132,9 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, n: np.ndarray, cls: Classes
 
 
 def points(doc: np.ndarray, shingle: np.ndarray, rows: int) -> np.ndarray:
-    """Group counts of each set."""
+    """Group counts of each set, cut off at MOST."""
     cell = doc * DIMS + (splitmix(shingle + U64(5)) % U64(DIMS)).astype(np.int64)
-    return np.minimum(np.bincount(cell, minlength=rows * DIMS), 0xFFFF).astype(np.uint16).reshape(rows, DIMS)
+    return np.minimum(np.bincount(cell, minlength=rows * DIMS), MOST).astype(np.uint16).reshape(rows, DIMS)
 
 
 def stars(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -221,7 +222,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.minimum(a, b).sum(-1, dtype=np.int64)
+    """Most shingles in common; no bound where both counts of a group are cut off at MOST."""
+    least = np.minimum(a, b)
+    return np.where((least == MOST).any(-1), np.int64(1 << 40), least.sum(-1, dtype=np.int64))
 
 
 def _unpack(column) -> np.ndarray:
