@@ -11,6 +11,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tsqc.llm import html_extract, jaccard_join, language_id, media_columns, mixing, packing, quality_rules, queries, secret_scans, suffix_dedup, token_counts
 from tsqc.llm.tokens import Encoder
@@ -78,7 +79,50 @@ def test_jaccard_join_finds_every_link(spark, k, pct):
 def test_jaccard_join_small_tables(spark):
     assert jaccard_join.join(table(spark, []), 4, 85).count() == 0
     again = jaccard_join.join(table(spark, ["a b c d e", "a b c d e"], [3, 3]), 4, 85).collect()
-    assert [(x.doc_id, x.component_id) for x in again] == [(3, 3)]
+    assert [(x.doc_id, x.component_id) for x in again] == [(3, 3)] * 2
+
+
+def test_jaccard_join_keeps_rows_without_or_with_repeated_ids(spark):
+    a, b, c = prose(50, 1), prose(50, 2), prose(50, 3)
+    rows = [(None, a), (7, b), (7, a), (None, c), (None, c), (9, None), (None, ""), (5, b), (None, None)]
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert sorted(map(str, ((x.doc_id, x.n_shingles, x.component_id) for x in got))) == sorted(
+        map(str, [(None, 47, 7), (7, 47, 5), (7, 47, 7), (None, 47, None), (None, 47, None), (9, 0, 9), (None, 0, None), (5, 47, 5), (None, 0, None)])
+    )
+
+
+def test_jaccard_join_with_clashing_columns_and_long_texts(spark):
+    long = prose(400_000, 8)
+    texts = [long, long + " and an end", prose(30, 9), long.upper()]
+    df = table(spark, texts).withColumns({x: F.lit(1) for x in ("set", "row", "hub", "a.b", "n", "kind", "id", "s")})
+    assert {x.doc_id: x.component_id for x in jaccard_join.join(df, 4, 85).collect()} == {0: 0, 1: 0, 2: 2, 3: 0}
+
+
+@pytest.mark.parametrize("block", [300, 1 << 19])
+def test_jaccard_join_of_crowds_split_or_not_equals_sql(spark, monkeypatch, tmp_path, block):
+    """Chains in which only neighbours are linked, and crowds about the similarity, met whole or in blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rnd = random.Random(3)
+    texts, words = [], prose(60, 0).split()
+    for i in range(60):
+        texts.append(" ".join(words[i : i + 60]))
+        words.append(rnd.choice(VOCAB))
+    for g in range(3):
+        base = prose(80, 50 + g).split()
+        for _ in range(40):
+            w = list(base)
+            for _ in range(rnd.randint(1, 3)):
+                w[rnd.randrange(80)] = rnd.choice(VOCAB)
+            texts.append(" ".join(w))
+    order = list(range(len(texts)))
+    rnd.shuffle(order)
+    df = table(spark, [*(texts[i] for i in order), *ODD, *texts[::30]])
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccard_join.join(df, 4, 85).collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(db.execute(f"SELECT doc_id, n_shingles, component_id FROM ({jaccard_join.ORACLE})").fetchall())
+    assert 3 < len({c for _, _, c in got}) < len(got) - 60
 
 
 def test_rtree_bound_never_loses(spark):
@@ -91,7 +135,7 @@ def test_rtree_bound_never_loses(spark):
         shingle.append(own)
         n.append(len(own))
     n = np.array(n)
-    point = jaccard_join.points(np.concatenate(doc), np.concatenate(shingle), 200)
+    point = jaccard_join.points(np.concatenate(doc), np.concatenate(shingle), 200, 128)
     tree = jaccard_join.RTree(point, n, 85)
     for i in range(0, 200, 7):
         found = set(tree.search(point[i], int(n[i])).tolist())
@@ -103,11 +147,11 @@ def test_rtree_bound_never_loses(spark):
 
 def test_cut_off_counts_give_no_bound():
     n = np.array([20_000_000, 20_000_000, 100])
-    shape = (1, jaccard_join.DIMS)
-    point = np.concatenate((np.full((2, jaccard_join.DIMS), 0xFFFF, np.uint16), np.ones(shape, np.uint16)))  # of 156,250 shingles a group
+    shape = (1, 128)
+    point = np.concatenate((np.full((2, 128), 0xFFFF, np.uint16), np.ones(shape, np.uint16)))  # of 156,250 shingles a group
     tree = jaccard_join.RTree(point, n, 85)
     assert sorted(tree.search(point[0], int(n[0])).tolist()) == [0, 1]
-    assert jaccard_join._bound(point[0], point[1]) >= n[0] and jaccard_join._bound(point[0], point[2]) == jaccard_join.DIMS
+    assert jaccard_join._bound(point[0], point[1]) >= n[0] and jaccard_join._bound(point[0], point[2]) == 128
 
 
 def brute_suffix(rows, length):

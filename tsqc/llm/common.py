@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Text bytes handled at once in a Python worker; only a longer document exceeds it.
@@ -19,45 +20,85 @@ CHUNK_BYTES = 2 << 20
 #: Bytes of an Arrow batch, for sessions that set none; only a longer document exceeds it.
 BATCH_BYTES = "8m"
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+MAP_BITS = 27
+_OWN: list[str] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of this very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset, as in tests, a temporary one, which only
+    a local session may use: other machines could not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tsqc-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="tsqc-"))
+    return _OWN[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own under the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/tsqc/{name}-{uuid.uuid4().hex}"
 
-    def remove():
+    def end():
         try:
-            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+            remove(spark, path)
         except Exception:  # the session has ended
             pass
 
-    atexit.register(remove)
+    atexit.register(end)
     return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts its lineage; shuffle files no longer needed may go."""
+    """Writes df to the shared folder and reads it back, which cuts its lineage; the shuffle files of the write go with its end."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    schema = df.schema
-    gc.collect()
-    spark._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Bitmap:
+    """Which leading bits of hashes there are: none is missed, few others are taken."""
+
+    def __init__(self, bits: int, at: np.ndarray, word: np.ndarray):
+        self.shift = U64(64 - bits)
+        self.words = np.zeros(max(1, (1 << bits) >> 6), U64)
+        self.words[at] = word.view(U64)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes.view(U64) >> self.shift
+        return (self.words[at >> U64(6)] >> (at & U64(63))) & U64(1) > 0
+
+
+def bitmap(df: DataFrame, name: str) -> Broadcast:
+    """A broadcast Bitmap of a column of hashes, of at most 1 << MAP_BITS bits: 16 MB on the driver and each executor. What it
+    lets through must be joined exactly."""
+    bits = min(MAP_BITS, max(10, (16 * df.count()).bit_length()))
+    at = df.selectExpr(f"shiftrightunsigned(`{name}`, {64 - bits}) AS at")
+    found = at.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("bits")).toArrow()
+    return df.sparkSession.sparkContext.broadcast(Bitmap(bits, found.column(0).to_numpy(), found.column(1).to_numpy()))
 
 
 def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:

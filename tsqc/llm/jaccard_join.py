@@ -1,22 +1,22 @@
-"""N-gram Jaccard join with a count-vector index.
+"""N-gram Jaccard join with a count-vector R-tree.
 
-Shingles are hashed into groups. Two uses of the groups find the pairs:
+Shingles are 64-bit hashes, and a set of shingles goes by the 64-bit sum of its hashed shingles, so equal sets are one from
+the start. Then, in this order:
 
-* Routing. Two linked sets differ in at most d shingles, so of more than d groups some are equal in both. Each set sends
-  one signature per group (and size class) to the task of that signature; sets under one signature are joined to the
-  least id among them, first within each batch and then over all batches, so a crowd costs one edge per member, not all
-  pairs. Sizes are classed by the similarity, so only sets that can be linked meet; groups per set follow its size.
-* Count vectors. Each set is a point of DIMS group counts. The overlap of two sets is at most the sum of their coordinate
-  minima; an edge that falls short is dropped unverified. A count cut off at MOST in both gives no bound.
+* Routing. Two linked sets differ in at most d shingles, so of more than d groups of shingles some are equal in both. Each
+  different set sends one signature per group (and size class) to the task of that signature. Sets under one signature become
+  pairs (hub, member), the hub being the least set among them: linear in the members, and few, as crowds have few hubs.
+* Search. The sets of a hub's members meet in one task. Their group counts are points of an R-tree, whose boxes, then points,
+  bound the overlap by summed coordinate minima; what survives is verified on the sets themselves, the likeliest partner
+  first, and none within a component already joined. A task gives one row per member that it joined, not one per pair.
+  Hubs of over BLOCK shingles are split into blocks that meet two at a time, so a task's memory is bounded.
 
-Surviving edges are verified on the sets themselves. Where an edge of a signature fails and its ends are not in one component
-otherwise, all members of that signature are searched again by an R-tree over their points (boxes bound the overlap by
-the minima with the box's maxima); pairs in different components that survive are verified too. So every link between
-different components is found; links within one component are not needed.
+Every two linked sets share a signature, so a hub, so they meet; all links between components are found.
 
-Shingles are 64-bit hashes. Defined results: a text with fewer words than a shingle is one shingle, the whole sequence;
-a null text or one without words has no shingle and no links; equal sets are linked; repeated ids are one document, whose
-shingles are those of its longest set; a row with a null id is left out; an empty table gives no rows; other columns do not matter.
+Defined results: a text with fewer words than a shingle is one shingle, the whole sequence; a null text or one without words
+has no shingle and no links; equal sets are linked; every row is a document of its own, also under a repeated or null id; a
+component's id is the least id in it that isn't null (null if there is none); an empty table gives no rows; other columns do
+not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,21 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsqc.llm.common import Rolling, chunks, mapped, partitions, splitmix, stored, words
+from tsqc.llm.common import Rolling, bitmap, chunks, column, mapped, partitions, splitmix, stored, words
 from tsqc.llm.graph import components
 
 U64 = np.uint64
-DIMS = 128
 MOST = 0xFFFF
 LEAF = 64  # points of a leaf of the R-tree
 FAN = 16
 #: Signatures that a task gathers before it sends them.
 FLUSH = 1_000_000
-#: Ids of documents to verify, 8 bytes each, that may be broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Shingles of the sets that meet in one task under one hub; with more, blocks of them meet two at a time.
+BLOCK = 1 << 19
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,72 +130,76 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, n: np.ndarray, cls: Classes
     return np.concatenate(sigs), np.concatenate(docs)
 
 
-def points(doc: np.ndarray, shingle: np.ndarray, rows: int) -> np.ndarray:
+def identities(doc: np.ndarray, shingle: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """64 bits for each set, whatever the order of its shingles."""
+    sums = np.zeros(len(n) + 1, U64)
+    np.add.at(sums, doc, splitmix(shingle + U64(0x2545F4914F6CDD1D))) if len(doc) else None
+    return splitmix(sums[:-1] + n.astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
+def points(row: np.ndarray, shingle: np.ndarray, rows: int, dims: int) -> np.ndarray:
     """Group counts of each set, cut off at MOST."""
-    cell = doc * DIMS + (splitmix(shingle + U64(5)) % U64(DIMS)).astype(np.int64)
-    return np.minimum(np.bincount(cell, minlength=rows * DIMS), MOST).astype(np.uint16).reshape(rows, DIMS)
+    cell = row * dims + (splitmix(shingle + U64(5)) % U64(dims)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=rows * dims), MOST).astype(np.uint16).reshape(rows, dims)
 
 
-def stars(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Under each signature: edges (signature, least key, key), then the signatures with their least keys."""
-    order = np.lexsort((key, sig))
-    sig, key = sig[order], key[order]
+def hubs(sig: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs (least set under a signature, another set under it)."""
+    order = np.lexsort((own, sig))
+    sig, own = sig[order], own[order]
     first = np.ones(len(sig), bool)
     first[1:] = sig[1:] != sig[:-1]
-    at = np.flatnonzero(first)
-    hub = key[at][np.cumsum(first) - 1] if len(sig) else key
-    rest = key != hub
-    rest[1:] &= (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-    return sig[rest], hub[rest], key[rest], sig[at], key[at]
+    hub = own[np.flatnonzero(first)][np.cumsum(first) - 1]
+    rest = own != hub
+    pair = np.unique(np.stack((hub[rest], own[rest]), 1), axis=0)
+    return pair[:, 0], pair[:, 1]
 
 
-OUT = "kind int, bucket int, sig long, a long, b long, n long, point binary"
-NAMES = ["kind", "bucket", "sig", "a", "b", "n", "point"]
+SENT = "kind int, bucket int, id long, row long, n long, set long, blob binary"
+MET = "kind int, id long, row long, n long, set long, hub long"
 
 
-def _batch(kind, bucket, sig, a, b, n, point) -> pa.RecordBatch:
-    m = len(kind)
-    fill = lambda x, t: pa.nulls(m, t) if x is None else pa.array(x, t)
-    columns = [fill(kind, pa.int32()), fill(bucket, pa.int32()), fill(sig, pa.int64()), fill(a, pa.int64()), fill(b, pa.int64()), fill(n, pa.int64()), fill(point, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, NAMES)
+def _batch(schema: str, rows: int, **columns) -> pa.RecordBatch:
+    """A batch of the columns given; the others are null."""
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names = [x.split() for x in schema.split(", ")]
+    made = [pa.array(columns[x], types[t]) if x in columns else pa.nulls(rows, types[t]) for x, t in names]
+    return pa.RecordBatch.from_arrays(made, [x for x, _ in names])
 
 
 def _send(batches: Iterator[pa.RecordBatch], k: int, pct: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Kind 0: a document with its point. Kind 1: an edge found here. Kind 2: packed (signature, id) for a bucket."""
+    """Kind 0: a document with its set. Kind 2: packed signatures and their sets, for a bucket."""
     cls = Classes(pct)
     sigs: list[np.ndarray] = []
     owners: list[np.ndarray] = []
+    sent: set[int] = set()
 
     def flush():
         sig, own = np.concatenate(sigs), np.concatenate(owners)
         sigs.clear()
         owners.clear()
-        s, hub, other, sig, own = stars(sig, own)
-        if len(s):
-            # Edges only pass through the next step, so a crowd's edges are dealt by the hubs of the batches.
-            where = (splitmix(s ^ splitmix(hub.view(U64))) % U64(buckets)).astype(np.int32)
-            yield _batch(np.ones(len(s), np.int32), where, s.view(np.int64), hub, other, None, None)
+        sent.clear()
         to = (sig % U64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         sig, own, to = sig[order], own[order], to[order]
         cut = np.searchsorted(to, np.arange(buckets + 1))
         live = np.flatnonzero(np.diff(cut))
-        packed = [np.concatenate((sig[cut[i] : cut[i + 1]], own[cut[i] : cut[i + 1]].view(U64))).tobytes() for i in live]
+        packed = [np.concatenate((sig[cut[i] : cut[i + 1]], own[cut[i] : cut[i + 1]])).tobytes() for i in live]
         if len(live):
-            yield _batch(np.full(len(live), 2, np.int32), live.astype(np.int32), None, None, None, None, packed)
+            yield _batch(SENT, len(live), kind=np.full(len(live), 2), bucket=live, blob=packed)
 
     for batch in batches:
-        keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         for first, texts in chunks(batch, "text"):
-            key = keys[first : first + len(texts)]
             doc, shingle = shingle_sets(texts, k)
             n = np.bincount(doc, minlength=len(texts))
-            point = points(doc, shingle, len(texts))
-            where = (splitmix(key.view(U64)) % U64(buckets)).astype(np.int32)
-            yield _batch(np.zeros(len(key), np.int32), where, None, key, None, n, [p.tobytes() for p in point])
-            sig, of = signatures(doc, shingle, n, cls)
+            own = identities(doc, shingle, n)
+            row = batch.column(1).slice(first, len(texts))
+            where = (splitmix(row.to_numpy().view(U64)) % U64(buckets)).astype(np.int32)
+            yield _batch(SENT, len(texts), kind=np.zeros(len(texts), np.int32), bucket=where, id=batch.column(0).slice(first, len(texts)), row=row, n=n, set=own.view(np.int64))
+            new = np.array([x not in sent and not sent.add(x) for x in own.tolist()], bool)
+            sig, of = signatures(doc, shingle, np.where(new, n, 0), cls)
             sigs.append(sig)
-            owners.append(key[of])
+            owners.append(own[of])
             if sum(map(len, sigs)) >= FLUSH:
                 yield from flush()
     if sigs:
@@ -204,21 +207,22 @@ def _send(batches: Iterator[pa.RecordBatch], k: int, pct: int, buckets: int) ->
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges over all batches, of what _send has packed; the rest goes through."""
-    sigs, keys = [], []
+    """Kind 0 goes through. Kind 1: a hub and another set under one of its signatures."""
+    sigs, sets = [], []
     for b in batches:
-        kind = b.column(0).to_numpy(zero_copy_only=False)
-        if (kind < 2).any():
-            yield b.filter(pa.array(kind < 2))
+        kind = b.column(0).to_numpy()
+        if (kind == 0).any():
+            docs = b.filter(pa.array(kind == 0))
+            yield _batch(MET, len(docs), **{x: docs.column(x) for x in ("kind", "id", "row", "n", "set")})
         for blob in b.column(6).filter(pa.array(kind == 2)).to_pylist():
             x = np.frombuffer(blob, U64)
             sigs.append(x[: len(x) // 2])
-            keys.append(x[len(x) // 2 :].view(np.int64))
+            sets.append(x[len(x) // 2 :])
     if sigs:
-        s, hub, other, _, _ = stars(np.concatenate(sigs), np.concatenate(keys))
-        for i in range(0, len(s), 100_000):
+        hub, other = hubs(np.concatenate(sigs), np.concatenate(sets))
+        for i in range(0, len(hub), 100_000):
             part = slice(i, i + 100_000)
-            yield _batch(np.ones(len(s[part]), np.int32), None, s[part].view(np.int64), hub[part], other[part], None, None)
+            yield _batch(MET, len(hub[part]), kind=np.ones(len(hub[part]), np.int32), set=other[part].view(np.int64), hub=hub[part].view(np.int64))
 
 
 def _bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -227,10 +231,6 @@ def _bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where((least == MOST).any(-1), np.int64(1 << 40), least.sum(-1, dtype=np.int64))
 
 
-def _unpack(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, DIMS)
-
-
 class RTree:
     """Bulk-loaded over points in the order of their size: boxes keep coordinate maxima and the range of sizes."""
 
@@ -265,125 +265,160 @@ class RTree:
         return self.order[live[good]]
 
 
+class Members:
+    """Sets that meet under a hub, and the components that their links make."""
+
+    def __init__(self, sets: list[np.ndarray], block: np.ndarray, across: bool, pct: int):
+        self.n = np.array([len(s) for s in sets])
+        self.block, self.across, self.pct = block, across, pct
+        every = np.concatenate(sets)
+        names, self.cell = np.unique(every, return_inverse=True)
+        self.mark = np.zeros(len(names), bool)
+        self.end = np.cumsum(self.n)
+        self.component = np.arange(len(sets))
+        dims = 64
+        while dims < 2048 and dims * 4 < self.n.max():
+            dims *= 2
+        self.point = points(np.repeat(np.arange(len(sets)), self.n), every, len(sets), dims)
+
+    def cells(self, i: int) -> np.ndarray:
+        return self.cell[self.end[i] - self.n[i] : self.end[i]]
+
+    def common(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Shingles in common with each of the others."""
+        self.mark[self.cells(i)] = True
+        found = np.add.reduceat(self.mark[np.concatenate([self.cells(j) for j in others])], np.cumsum(self.n[others]) - self.n[others], dtype=np.int64)
+        self.mark[self.cells(i)] = False
+        return found
+
+    def link(self) -> np.ndarray:
+        """The least member of each member's component."""
+        tree = RTree(self.point, self.n, self.pct) if len(self.n) > 2 else None
+        for i in range(1, len(self.n)):
+            near = tree.search(self.point[i], int(self.n[i])) if tree else np.array([0])
+            near = near[near < i]  # pairs are met from their second end
+            if self.across:
+                near = near[self.block[near] != self.block[i]]
+            if len(near) > 1:
+                near = near[np.argsort(-_bound(self.point[near], self.point[i]) / (self.n[near] + self.n[i]), kind="stable")]
+            size = 1
+            while True:
+                near = near[self.component[near] != self.component[i]]
+                if not len(near):
+                    break
+                some, near = near[:size], near[size:]
+                size = min(2 * size, 64)
+                for j in some[linked(self.common(i, some), self.n[some], self.n[i], self.pct)]:
+                    a, b = sorted((self.component[i], self.component[j]))
+                    self.component[self.component == b] = a
+        return self.component
+
+
 def _search(batches: Iterator[pa.RecordBatch], pct: int) -> Iterator[pa.RecordBatch]:
-    """Pairs in different components under each signature. Rows come in the order of signatures."""
-    def pairs(t: pa.Table):
-        key, comp, n = (t.column(i).to_numpy() for i in (1, 2, 3))
-        if len(set(comp.tolist())) < 2:
-            return
-        point = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint16).reshape(-1, DIMS)
-        tree = RTree(point, n, pct)
-        # Searching from all but the largest component meets every pair of two components.
-        names, inverse, size = np.unique(comp, return_inverse=True, return_counts=True)
-        a, b = [], []
-        for i in np.flatnonzero(inverse != size.argmax()):
-            found = tree.search(point[i], int(n[i]))
-            found = found[comp[found] != comp[i]]
-            a.append(np.minimum(key[found], key[i]))
-            b.append(np.maximum(key[found], key[i]))
-        a, b = np.concatenate(a), np.concatenate(b)
-        if len(a):
-            both = np.unique(np.stack((a, b), 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+    """Per member that a hub's task joins to another: the least of its component there, and itself. Rows come in the order of
+    hubs and blocks."""
 
     def groups():
         held = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([held, t]) if held is not None else t
-            sig = t.column(0).to_numpy()
-            at = np.flatnonzero(np.diff(sig)) + 1
-            cut = np.concatenate(([0], at))
+            key = np.stack([t.column(i).to_numpy() for i in range(3)], 1)
+            cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1)]
             for lo, hi in zip(cut[:-1], cut[1:]):
                 yield t.slice(lo, hi - lo)
             held = t.slice(cut[-1])
         if held is not None and len(held):
             yield held
 
+    a, b, n = [], [], 0
     for t in groups():
-        if len(t) > 1:
-            yield from pairs(t.combine_chunks())
-
-
-def _verified(pairs: DataFrame, documents: DataFrame, k: int, pct: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose sets are linked."""
-    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}_ids")
-    wanted = None
-    if ids.count() <= BROADCAST_IDS:
-        wanted = documents.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow().column(0).to_numpy()))
-    else:
-        documents = documents.join(ids, "id", "left_semi")
+        if len(t) < 2:
+            continue
+        names = t.column(4).to_numpy()
+        component = Members([np.frombuffer(s.as_buffer(), U64) for s in t.column(5)], t.column(3).to_numpy(), t.column(1)[0] != t.column(2)[0], pct).link()
+        joined = component != np.arange(len(component))
+        a.append(names[component[joined]])
+        b.append(names[joined])
+        n += int(joined.sum())
+        if n >= 100_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            a, b, n = [], [], 0
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+
+def _met_sets(documents: DataFrame, members: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """hub, set, n and s, the shingles, of all members."""
+    wanted = stored(members.select("set").distinct().join(reps, "set").select("set", "row", "n"), "wanted")
+    have = bitmap(wanted, "row")
 
     def sets(batches):
         for batch in batches:
-            if wanted is not None:
-                batch = batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), wanted.value)))
-            keys = batch.column(0)
-            for first, texts in chunks(batch, "text"):
+            batch = batch.filter(pa.array(have.value.holds(batch.column(0).to_numpy())))
+            for _, texts in chunks(batch, "text"):
                 doc, shingle = shingle_sets(texts, k)
+                n = np.bincount(doc, minlength=len(texts))
+                own, first = np.unique(identities(doc, shingle, n), return_index=True)
                 cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [keys.slice(first, len(texts)), pa.array([shingle[cut[i] : cut[i + 1]].tobytes() for i in range(len(texts))], pa.binary())], ["id", "s"]
-                )
-
-    found = stored(documents.select("id", "text").transform(mapped, sets, "id long, s binary").groupBy("id").agg(F.max(F.struct(F.length("s"), "s"))["s"].alias("s")), f"{name}_sets")
-
-    def check(batches):
-        for b in batches:
-            good = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if x == y:
-                    good.append(True)
-                    continue
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                good.append(bool(linked(np.int64((both[1:] == both[:-1]).sum()), np.int64(len(x)), np.int64(len(y)), pct)))
-            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    # Pairs go to the sets of their first ends, if there are few enough; then the second ends' sets meet them by a merge, at every size.
-    ends = F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS // 2 else pairs
-    with_a = found.select(F.col("id").alias("a"), F.col("s").alias("x")).join(ends, "a")
-    both = with_a.join(found.select(F.col("id").alias("b"), F.col("s").alias("y")).hint("merge"), "b")
-    return stored(both.select("a", "b", "x", "y").transform(mapped, check, "a long, b long"), f"{name}_links")
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array([shingle[cut[i] : cut[i + 1]].tobytes() for i in first], pa.binary())], ["set", "s"])
+
+    found = documents.select("row", "text").transform(mapped, sets, "set long, s binary").groupBy("set").agg(F.first("s").alias("s"))
+    return members.join(wanted.select("set", "n"), "set").join(found.hint("merge"), "set")
+
+
+def classes(df: DataFrame, k: int = 5, pct: int = 80, doc_id: str = "doc_id", text: str = "text", row: Column | None = None) -> DataFrame:
+    """Per row: doc_id, row (64 bits of row, else of id and text), n_shingles, class (of the component; null without shingles)
+    and component_id."""
+    own = F.xxhash64(column(doc_id), column(text)) if row is None else row
+    documents = df.select(column(doc_id).cast("long").alias("id"), own.alias("row"), column(text).cast("string").alias("text"))
+    buckets = partitions(df)
+    sent = documents.transform(mapped, lambda it: _send(it, k, pct, buckets), SENT)
+    met = stored(sent.repartition(buckets, "bucket").transform(mapped, _meet, MET), "met")
+    docs = met.filter("kind = 0").select("id", "row", "n", "set")
+    reps = docs.filter("n > 0").groupBy("set").agg(F.min("row").alias("row"), F.max("n").alias("n"), F.min("id").alias("id"))
+    near = stored(met.filter("kind = 1").select("hub", "set").distinct(), "near")
+    members = near.union(near.select("hub", F.col("hub").alias("set")).distinct())
+    # A hub's members are dealt to so many blocks; any two blocks meet.
+    with_sets = _met_sets(documents, members, reps, k)
+    sizes = members.join(reps.select("set", "n"), "set").groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")).filter("blocks > 1")
+    dealt = with_sets.join(sizes, "hub", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("set"), "blocks"), F.lit(0).cast("long")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("blocks") - 1, F.lit(0).cast("long")))))
+    dealt = dealt.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "s")
+    links = dealt.repartition(buckets, "hub", "i", "j").sortWithinPartitions("hub", "i", "j").transform(mapped, lambda it: _search(it, pct), "a long, b long")
+    label = components(stored(links, "links"))
+    own = reps.join(label.withColumnRenamed("id", "set"), "set", "left").select("set", F.coalesce("component", "set").alias("class"), "id")
+    own = stored(own, "classes")
+    named = own.join(own.groupBy("class").agg(F.min("id").alias("component_id")), "class").select("set", "class", "component_id")
+    out = docs.join(named, "set", "left")
+    return out.select(F.col("id").alias("doc_id"), "row", F.col("n").alias("n_shingles"), "class", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def join(df: DataFrame, k: int = 5, pct: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least id that links reach)."""
-    documents = df.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    buckets = partitions(df)
-    sent = documents.transform(mapped, lambda it: _send(it, k, pct, buckets), OUT)
-    met = stored(sent.repartition(buckets, "bucket").transform(mapped, _meet, OUT), "met")
-    docs = met.filter("kind = 0").groupBy(F.col("a").alias("id")).agg(F.max(F.struct("n", "point")).alias("x")).select("id", "x.n", "x.point")
-    edges = met.filter("kind = 1").select("sig", "a", "b")
-    # Of signatures with the same edges one is enough.
-    alike = edges.groupBy("sig").agg(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h"), F.count(F.lit(1)).alias("m"), F.min("a").alias("a"), F.max("b").alias("b"))
-    one = alike.groupBy("h", "m", "a", "b").agg(F.min("sig").alias("sig")).select("sig")
-    edges = stored(edges.join(one, "sig", "left_semi"), "edges")
-    pairs = edges.select("a", "b").distinct()
-    ends = lambda side: docs.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("point").alias(f"p{side}"))
-
-    def prune(batches):
-        for b in batches:
-            n, m = (b.column(i).to_numpy() for i in (2, 3))
-            most = np.minimum(_bound(_unpack(b.column(4)), _unpack(b.column(5))), np.minimum(n, m))
-            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(linked(most, n, m, pct)))
-
-    able = f"least(na, nb) * 100 >= {pct} * greatest(na, nb)"
-    near = pairs.join(ends("a"), "a").join(ends("b"), "b").filter(able).select("a", "b", "na", "nb", "pa", "pb").transform(mapped, prune, "a long, b long")
-    near = stored(near, "near")
-    links = _verified(near, documents, k, pct, "first")
-    label = components(links)
-    of = lambda side: label.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
-    open_sigs = (
-        edges.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("coalesce(ca, a) != coalesce(cb, b)").select("sig").distinct()
-    )
-    left = edges.join(open_sigs, "sig", "left_semi")
-    members = left.select("sig", F.col("a").alias("id")).union(left.select("sig", F.col("b").alias("id"))).distinct()
-    members = members.join(docs, "id").join(label, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"), "n", "point")
-    more = members.repartition(buckets, "sig").sortWithinPartitions("sig").transform(mapped, lambda it: _search(it, pct), "a long, b long").distinct()
-    more = stored(more.join(near, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        links = stored(links.union(_verified(more, documents, k, pct, "second")), "all_links")
-        label = components(links)
-    return docs.join(label, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return classes(df, k, pct, doc_id, text).select("doc_id", "n_shingles", "component_id")
+
+
+#: join() with k = 4 and pct = 85 in DuckDB's SQL.
+ORACLE = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    coalesce(regexp_extract_all(translate("text", 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents
+), sets AS (
+  SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM docs
+), shingles AS (SELECT rid, len(s) AS n, unnest(s) AS x FROM sets
+), links AS (
+  SELECT a.rid AS a, b.rid AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.rid < b.rid
+  GROUP BY a.rid, b.rid, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT rid, rid AS other FROM sets
+  UNION
+  SELECT r.rid, l.b FROM reached r JOIN both_ways l ON l.a = r.other
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM sets s JOIN reached r ON r.rid = s.rid JOIN sets o ON o.rid = r.other
+GROUP BY s.rid, s.doc_id, s.s"""
