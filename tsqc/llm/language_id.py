@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsqc.llm.common import CHUNK_BYTES, fresh, mapped, splitmix
+from tsqc.llm.common import fresh, mapped, splitmix
 
 ORDERS = 3
 BUCKETS = 1 << 16
 MATRIX_BYTES = 128 << 20
+#: Characters scored at once; only a longer text exceeds it.
+RUN_CHARS = 1 << 18
 #: Labelled documents that training may use: those with the smallest share of a hash of their id, about so many.
 TRAIN_BOUND = 20_000
 
@@ -60,7 +62,7 @@ def _runs(values: list[str | None]):
     run, first, size = [], 0, 0
     for i, v in enumerate(values):
         v = v or ""
-        if run and size + len(v) > CHUNK_BYTES // 2:
+        if run and size + len(v) > RUN_CHARS:
             yield first, run
             run, first, size = [], i, 0
         run.append(v)
