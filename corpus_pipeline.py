@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsqc.llm import jaccard_join, language_id, mixing, packing, secret_scans
-from tsqc.llm.common import fresh, new_path, read_table, stored
+from tsqc.llm.common import column, fresh, new_path, read_table, remove, stored
 from tsqc.llm.queries import _tokenizer
 
 #: A text whose likeliest language has a smaller posterior has no clear language.
@@ -21,19 +21,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(docs)
     names = [fresh(docs.columns, x) for x in ("lang_pred", "score")]
     found = language_id.predict(docs, model)
-    return found.filter((F.col(names[0]) != "und") & (F.col(names[1]) >= MIN_SCORE)).select(*(f"`{c}`" for c in docs.columns))
+    return found.filter((F.col(names[0]) != "und") & (F.col(names[1]) >= MIN_SCORE)).select(*map(column, docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group stays: that of the least id, null ids last. Rows are compared by keys of their own, so null and
-    repeated ids are judged like others. A text without words is no one's copy."""
+    """One row of each group stays: that of the least id, null ids last, then of the least hash of its columns; of rows alike in
+    all columns, one. Rows are compared each for itself, whatever their ids. A text without words is no one's copy."""
     key = fresh(docs.columns, "row_key")
-    # Written first, so that a row has the same key whenever it is read.
-    keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
-    groups = jaccard_join.join(keyed, k=5, pct=80, doc_id=key).select(F.col("doc_id").alias(key), "component_id")
-    own = keyed.select(key, F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(key).alias("row")).alias("rank"))
-    first = groups.join(own, key).groupBy("component_id").agg(F.min("rank")["row"].alias(key)).select(key)
-    return keyed.join(first, key, "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    keyed = docs.withColumn(key, F.xxhash64(*(column(c) for c in docs.columns)))
+    found = stored(jaccard_join.classes(keyed, k=5, pct=80, row=F.col(key)).filter("n_shingles > 0").select("doc_id", "row", "class"), "classes")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "row")
+    first = found.groupBy("class").agg(F.min(rank)["row"].alias(key)).select(key)
+    whole = F.struct(*(column(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    one = keyed.join(first, key, "left_semi").groupBy(key).agg(F.first(whole).alias("whole"))
+    one = one.select(*(F.col("whole")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)))
+    return one.union(docs.filter(~F.coalesce(column("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,11 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """What a stage has read goes when its own rows are written; only the last one's stays, for the caller."""
+    docs, read = read_table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if i == len(STAGES) - 1:
             return out
         path = new_path(spark, f"stage{i}")
         out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        if read:
+            remove(spark, read)
+        docs, read = spark.read.schema(out.schema).parquet(path), path
