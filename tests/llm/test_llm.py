@@ -98,7 +98,7 @@ def test_jaccard_join_with_clashing_columns_and_long_texts(spark):
     assert {x.doc_id: x.component_id for x in jaccard_join.join(df, 4, 85).collect()} == {0: 0, 1: 0, 2: 2, 3: 0}
 
 
-@pytest.mark.parametrize("block", [300, 1 << 19])
+@pytest.mark.parametrize("block", [300, 1 << 17])
 def test_jaccard_join_of_crowds_split_or_not_equals_sql(spark, monkeypatch, tmp_path, block):
     """Chains in which only neighbours are linked, and crowds about the similarity, met whole or in blocks."""
     monkeypatch.setattr(jaccard_join, "BLOCK", block)

@@ -38,7 +38,7 @@ FAN = 16
 #: Signatures that a task gathers before it sends them.
 FLUSH = 1_000_000
 #: Shingles of the sets that meet in one task under one hub; with more, blocks of them meet two at a time.
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
