@@ -38,7 +38,7 @@ FAN = 16
 #: Signatures that a task gathers before it sends them.
 FLUSH = 1_000_000
 #: Shingles of the sets that meet in one task under one hub; with more, blocks of them meet two at a time.
-BLOCK = 1 << 17
+BLOCK = 1 << 19
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -348,9 +348,8 @@ def _search(batches: Iterator[pa.RecordBatch], pct: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
-def _met_sets(documents: DataFrame, members: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """hub, set, n and s, the shingles, of all members."""
-    wanted = stored(members.select("set").distinct().join(reps, "set").select("set", "row", "n"), "wanted")
+def _with_sets(documents: DataFrame, dealt: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """dealt with s, the shingles of its sets. wanted has the sets, each with the row of one document."""
     have = bitmap(wanted, "row")
 
     def sets(batches):
@@ -364,7 +363,7 @@ def _met_sets(documents: DataFrame, members: DataFrame, reps: DataFrame, k: int)
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array([shingle[cut[i] : cut[i + 1]].tobytes() for i in first], pa.binary())], ["set", "s"])
 
     found = documents.select("row", "text").transform(mapped, sets, "set long, s binary").groupBy("set").agg(F.first("s").alias("s"))
-    return members.join(wanted.select("set", "n"), "set").join(found.hint("merge"), "set")
+    return dealt.join(found.hint("merge"), "set")
 
 
 def classes(df: DataFrame, k: int = 5, pct: int = 80, doc_id: str = "doc_id", text: str = "text", row: Column | None = None) -> DataFrame:
@@ -379,12 +378,13 @@ def classes(df: DataFrame, k: int = 5, pct: int = 80, doc_id: str = "doc_id", te
     reps = docs.filter("n > 0").groupBy("set").agg(F.min("row").alias("row"), F.max("n").alias("n"), F.min("id").alias("id"))
     near = stored(met.filter("kind = 1").select("hub", "set").distinct(), "near")
     members = near.union(near.select("hub", F.col("hub").alias("set")).distinct())
-    # A hub's members are dealt to so many blocks; any two blocks meet.
-    with_sets = _met_sets(documents, members, reps, k)
-    sizes = members.join(reps.select("set", "n"), "set").groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")).filter("blocks > 1")
-    dealt = with_sets.join(sizes, "hub", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("set"), "blocks"), F.lit(0).cast("long")))
+    sized = stored(members.join(reps.select("set", "row", "n"), "set"), "members")
+    # A hub's members are dealt to so many blocks, of which any two meet. Sets, being large, join when all that is known.
+    blocks = sized.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")).filter("blocks > 1")
+    dealt = sized.join(blocks, "hub", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("set"), "blocks"), F.lit(0).cast("long")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("blocks") - 1, F.lit(0).cast("long")))))
-    dealt = dealt.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "s")
+    dealt = dealt.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set")
+    dealt = _with_sets(documents, dealt, sized.select("set", "row").distinct(), k).select("hub", "i", "j", "block", "set", "s")
     links = dealt.repartition(buckets, "hub", "i", "j").sortWithinPartitions("hub", "i", "j").transform(mapped, lambda it: _search(it, pct), "a long, b long")
     label = components(stored(links, "links"))
     own = reps.join(label.withColumnRenamed("id", "set"), "set", "left").select("set", F.coalesce("component", "set").alias("class"), "id")
