@@ -135,22 +135,24 @@ def test_rtree_bound_never_loses(spark):
         shingle.append(own)
         n.append(len(own))
     n = np.array(n)
-    point = jaccard_join.points(np.concatenate(doc), np.concatenate(shingle), 200, 128)
-    tree = jaccard_join.RTree(point, n, 85)
-    for i in range(0, 200, 7):
-        found = set(tree.search(point[i], int(n[i])).tolist())
-        for j in range(200):
+    point = jaccard_join.points(np.concatenate(doc), np.concatenate(shingle), n)
+    assert len({len(p) for p in point}) > 1
+    index = jaccard_join.Index(point, n, np.zeros(200), False, 85)
+    found = {tuple(sorted((i, j))) for i in range(200) for j in index.near(i)[0].tolist()}
+    assert len(found) < 200 * 199 // 3
+    for i in range(200):
+        for j in range(i):
             common = len(np.intersect1d(shingle[i], shingle[j]))
             if 100 * common >= 85 * (n[i] + n[j] - common):
-                assert j in found
+                assert (j, i) in found
 
 
 def test_cut_off_counts_give_no_bound():
-    n = np.array([20_000_000, 20_000_000, 100])
+    n = np.array([200_000, 200_000, 100])
     shape = (1, 128)
-    point = np.concatenate((np.full((2, 128), 0xFFFF, np.uint16), np.ones(shape, np.uint16)))  # of 156,250 shingles a group
+    point = np.concatenate((np.full((2, 128), 0xFF, np.uint8), np.ones(shape, np.uint8)))  # of over 1,500 shingles a group
     tree = jaccard_join.RTree(point, n, 85)
-    assert sorted(tree.search(point[0], int(n[0])).tolist()) == [0, 1]
+    assert sorted(tree.search(point[0], int(n[0]))[0].tolist()) == [0, 1]
     assert jaccard_join._bound(point[0], point[1]) >= n[0] and jaccard_join._bound(point[0], point[2]) == 128
 
 

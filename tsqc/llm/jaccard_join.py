@@ -6,12 +6,15 @@ the start. Then, in this order:
 * Routing. Two linked sets differ in at most d shingles, so of more than d groups of shingles some are equal in both. Each
   different set sends one signature per group (and size class) to the task of that signature. Sets under one signature become
   pairs (hub, member), the hub being the least set among them: linear in the members, and few, as crowds have few hubs.
-* Search. The sets of a hub's members meet in one task. Their group counts are points of an R-tree, whose boxes, then points,
-  bound the overlap by summed coordinate minima; what survives is verified on the sets themselves, the likeliest partner
-  first, and none within a component already joined. A task gives one row per member that it joined, not one per pair.
-  Hubs of over BLOCK shingles are split into blocks that meet two at a time, so a task's memory is bounded.
+* Index. Group counts of the sets are points, of more groups for larger sets. The points of a hub's members meet in one task,
+  as R-trees whose boxes, then points, bound the overlap by summed coordinate minima. Members that surviving pairs hold together
+  make a crowd, called by its least set, whichever hubs it was found under; all others are done with.
+* Verification. The sets of a crowd meet in one task and surviving pairs are verified, the likeliest partner first, and none
+  within a component already joined. A task gives one row per member that it joined, not one per pair.
 
-Every two linked sets share a signature, so a hub, so they meet; all links between components are found.
+Hubs and crowds of over BLOCK shingles are split into blocks that meet two at a time, so a task's memory is bounded.
+Every two linked sets share a signature, so a hub, so a crowd; all links between components are found. Similarities are
+of 50 percent or more.
 
 Defined results: a text with fewer words than a shingle is one shingle, the whole sequence; a null text or one without words
 has no shingle and no links; equal sets are linked; every row is a document of its own, also under a repeated or null id; a
@@ -32,12 +35,15 @@ from tsqc.llm.common import Rolling, bitmap, chunks, column, mapped, partitions,
 from tsqc.llm.graph import components
 
 U64 = np.uint64
-MOST = 0xFFFF
+MOST = 0xFF
+#: Groups of a point: the least power of two, of LEAST_DIMS to MOST_DIMS, that leaves up to 4 shingles for each.
+LEAST_DIMS = 64
+MOST_DIMS = 1 << 16
 LEAF = 64  # points of a leaf of the R-tree
 FAN = 16
 #: Signatures that a task gathers before it sends them.
 FLUSH = 1_000_000
-#: Shingles of the sets that meet in one task under one hub; with more, blocks of them meet two at a time.
+#: Shingles of the sets that meet in one task under one hub or crowd; with more, blocks of them meet two at a time.
 BLOCK = 1 << 19
 
 
@@ -137,10 +143,12 @@ def identities(doc: np.ndarray, shingle: np.ndarray, n: np.ndarray) -> np.ndarra
     return splitmix(sums[:-1] + n.astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
-def points(row: np.ndarray, shingle: np.ndarray, rows: int, dims: int) -> np.ndarray:
+def points(doc: np.ndarray, shingle: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     """Group counts of each set, cut off at MOST."""
-    cell = row * dims + (splitmix(shingle + U64(5)) % U64(dims)).astype(np.int64)
-    return np.minimum(np.bincount(cell, minlength=rows * dims), MOST).astype(np.uint16).reshape(rows, dims)
+    dims = np.minimum(MOST_DIMS, np.maximum(LEAST_DIMS, 1 << np.ceil(np.log2(np.maximum(n, 1) / 4)).clip(0).astype(np.int64)))
+    end = np.cumsum(dims)
+    cell = (end - dims)[doc] + (splitmix(shingle + U64(5)) & (dims[doc] - 1).astype(U64)).astype(np.int64)
+    return np.split(np.minimum(np.bincount(cell, minlength=int(dims.sum())), MOST).astype(np.uint8), end[:-1])
 
 
 def hubs(sig: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +164,7 @@ def hubs(sig: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 SENT = "kind int, bucket int, id long, row long, n long, set long, blob binary"
-MET = "kind int, id long, row long, n long, set long, hub long"
+MET = "kind int, id long, row long, n long, set long, hub long, point binary"
 
 
 def _batch(schema: str, rows: int, **columns) -> pa.RecordBatch:
@@ -168,7 +176,7 @@ def _batch(schema: str, rows: int, **columns) -> pa.RecordBatch:
 
 
 def _send(batches: Iterator[pa.RecordBatch], k: int, pct: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Kind 0: a document with its set. Kind 2: packed signatures and their sets, for a bucket."""
+    """Kind 0: a document with its set. Kind 1: a set with its point. Kind 2: packed signatures and their sets, for a bucket."""
     cls = Classes(pct)
     sigs: list[np.ndarray] = []
     owners: list[np.ndarray] = []
@@ -196,7 +204,9 @@ def _send(batches: Iterator[pa.RecordBatch], k: int, pct: int, buckets: int) ->
             row = batch.column(1).slice(first, len(texts))
             where = (splitmix(row.to_numpy().view(U64)) % U64(buckets)).astype(np.int32)
             yield _batch(SENT, len(texts), kind=np.zeros(len(texts), np.int32), bucket=where, id=batch.column(0).slice(first, len(texts)), row=row, n=n, set=own.view(np.int64))
-            new = np.array([x not in sent and not sent.add(x) for x in own.tolist()], bool)
+            new = (n > 0) & np.array([x not in sent and not sent.add(x) for x in own.tolist()], bool)
+            made = [x.tobytes() for x, y in zip(points(doc, shingle, n), new) if y]
+            yield _batch(SENT, len(made), kind=np.ones(len(made), np.int32), bucket=where[new], n=n[new], set=own[new].view(np.int64), blob=made)
             sig, of = signatures(doc, shingle, np.where(new, n, 0), cls)
             sigs.append(sig)
             owners.append(own[of])
@@ -207,13 +217,13 @@ def _send(batches: Iterator[pa.RecordBatch], k: int, pct: int, buckets: int) ->
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0 goes through. Kind 1: a hub and another set under one of its signatures."""
+    """Kinds 0 and 1 go through. Kind 2: a hub and another set under one of its signatures."""
     sigs, sets = [], []
     for b in batches:
         kind = b.column(0).to_numpy()
-        if (kind == 0).any():
-            docs = b.filter(pa.array(kind == 0))
-            yield _batch(MET, len(docs), **{x: docs.column(x) for x in ("kind", "id", "row", "n", "set")})
+        if (kind < 2).any():
+            docs = b.filter(pa.array(kind < 2))
+            yield _batch(MET, len(docs), point=docs.column("blob"), **{x: docs.column(x) for x in ("kind", "id", "row", "n", "set")})
         for blob in b.column(6).filter(pa.array(kind == 2)).to_pylist():
             x = np.frombuffer(blob, U64)
             sigs.append(x[: len(x) // 2])
@@ -222,7 +232,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, other = hubs(np.concatenate(sigs), np.concatenate(sets))
         for i in range(0, len(hub), 100_000):
             part = slice(i, i + 100_000)
-            yield _batch(MET, len(hub[part]), kind=np.ones(len(hub[part]), np.int32), set=other[part].view(np.int64), hub=hub[part].view(np.int64))
+            yield _batch(MET, len(hub[part]), kind=np.full(len(hub[part]), 2, np.int32), set=other[part].view(np.int64), hub=hub[part].view(np.int64))
 
 
 def _bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -248,8 +258,8 @@ class RTree:
                 break
             size = FAN
 
-    def search(self, p: np.ndarray, n: int) -> np.ndarray:
-        """Numbers of the points whose bound reaches the similarity with the point p of a set of n."""
+    def search(self, p: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the points whose bound reaches the similarity with the point p of a set of n, and the bounds."""
         live = np.array([0])
         for depth in range(len(self.levels) - 1, -1, -1):
             top, low, high = self.levels[depth]
@@ -261,25 +271,45 @@ class RTree:
             size = len(self.levels[depth - 1][1]) if depth else len(self.n)
             live = (live[:, None] * step + np.arange(step)).ravel()
             live = live[live < size]
-        good = linked(np.minimum(_bound(self.point[live], p), np.minimum(self.n[live], n)), self.n[live], np.int64(n), self.pct)
-        return self.order[live[good]]
+        most = np.minimum(_bound(self.point[live], p), np.minimum(self.n[live], n))
+        good = linked(most, self.n[live], np.int64(n), self.pct)
+        return self.order[live[good]], most[good]
+
+
+class Index:
+    """R-trees of points, one for each number of groups; points of twice as many groups are in it folded."""
+
+    def __init__(self, point: list[np.ndarray], n: np.ndarray, block: np.ndarray, across: bool, pct: int):
+        self.point, self.n, self.block, self.across = point, n, block, across
+        self.dims = np.array([len(p) for p in point])
+        self.trees = {}
+        for d in np.unique(self.dims).tolist():
+            at = np.flatnonzero((self.dims == d) | (self.dims == 2 * d))
+            folded = [point[i] if len(point[i]) == d else np.minimum(point[i][:d].astype(np.uint16) + point[i][d:], MOST).astype(np.uint8) for i in at]
+            self.trees[d] = at, RTree(np.stack(folded), n[at], pct)
+
+    def near(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Members that may be linked with i, and the most shingles in common: of each pair from one end only, and in a meeting of
+        two blocks from the other block only."""
+        at, tree = self.trees[int(self.dims[i])]
+        found, most = tree.search(self.point[i], int(self.n[i]))
+        found = at[found]
+        good = (self.dims[found] > self.dims[i]) | (found < i)
+        if self.across:
+            good &= self.block[found] != self.block[i]
+        return found[good], most[good]
 
 
 class Members:
-    """Sets that meet under a hub, and the components that their links make."""
+    """Sets that meet in a crowd, and the components that their links make."""
 
     def __init__(self, sets: list[np.ndarray], block: np.ndarray, across: bool, pct: int):
-        self.n = np.array([len(s) for s in sets])
-        self.block, self.across, self.pct = block, across, pct
-        every = np.concatenate(sets)
+        self.n, self.pct = np.array([len(s) for s in sets]), pct
+        self.end = np.cumsum(self.n)
+        every, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.n)
         names, self.cell = np.unique(every, return_inverse=True)
         self.mark = np.zeros(len(names), bool)
-        self.end = np.cumsum(self.n)
-        self.component = np.arange(len(sets))
-        dims = 64
-        while dims < 2048 and dims * 4 < self.n.max():
-            dims *= 2
-        self.point = points(np.repeat(np.arange(len(sets)), self.n), every, len(sets), dims)
+        self.index = Index(points(of, every, self.n), self.n, block, across, pct)
 
     def cells(self, i: int) -> np.ndarray:
         return self.cell[self.end[i] - self.n[i] : self.end[i]]
@@ -292,60 +322,96 @@ class Members:
         return found
 
     def link(self) -> np.ndarray:
-        """The least member of each member's component."""
-        tree = RTree(self.point, self.n, self.pct) if len(self.n) > 2 else None
-        for i in range(1, len(self.n)):
-            near = tree.search(self.point[i], int(self.n[i])) if tree else np.array([0])
-            near = near[near < i]  # pairs are met from their second end
-            if self.across:
-                near = near[self.block[near] != self.block[i]]
-            if len(near) > 1:
-                near = near[np.argsort(-_bound(self.point[near], self.point[i]) / (self.n[near] + self.n[i]), kind="stable")]
+        """The first member of each member's component."""
+        component = np.arange(len(self.n))
+        for i in range(len(self.n)):
+            near, most = self.index.near(i)
+            near = near[np.argsort(-most / (self.n[near] + self.n[i]), kind="stable")]
             size = 1
             while True:
-                near = near[self.component[near] != self.component[i]]
+                near = near[component[near] != component[i]]
                 if not len(near):
                     break
                 some, near = near[:size], near[size:]
                 size = min(2 * size, 64)
                 for j in some[linked(self.common(i, some), self.n[some], self.n[i], self.pct)]:
-                    a, b = sorted((self.component[i], self.component[j]))
-                    self.component[self.component == b] = a
-        return self.component
+                    a, b = sorted((component[i], component[j]))
+                    component[component == b] = a
+        return component
 
 
-def _search(batches: Iterator[pa.RecordBatch], pct: int) -> Iterator[pa.RecordBatch]:
-    """Per member that a hub's task joins to another: the least of its component there, and itself. Rows come in the order of
-    hubs and blocks."""
-
-    def groups():
-        held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([held, t]) if held is not None else t
-            key = np.stack([t.column(i).to_numpy() for i in range(3)], 1)
-            cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1)]
-            for lo, hi in zip(cut[:-1], cut[1:]):
-                yield t.slice(lo, hi - lo)
-            held = t.slice(cut[-1])
-        if held is not None and len(held):
-            yield held
-
-    a, b, n = [], [], 0
-    for t in groups():
-        if len(t) < 2:
-            continue
-        names = t.column(4).to_numpy()
-        component = Members([np.frombuffer(s.as_buffer(), U64) for s in t.column(5)], t.column(3).to_numpy(), t.column(1)[0] != t.column(2)[0], pct).link()
-        joined = component != np.arange(len(component))
-        a.append(names[component[joined]])
-        b.append(names[joined])
-        n += int(joined.sum())
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of one hub (or crowd) and pair of blocks, in their order."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([held, t]) if held is not None else t
+        key = np.stack([t.column(i).to_numpy() for i in range(3)], 1)
+        cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1)]
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            yield t.slice(lo, hi - lo)
+        held = t.slice(cut[-1])
+    if held is not None and len(held):
+        yield held
+
+
+def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for pair in pairs:
+        held.append(pair)
+        n += len(pair[0])
         if n >= 100_000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-            a, b, n = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names)
+            held, n = [], 0
     if n:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names)
+
+
+def _crowds(batches: Iterator[pa.RecordBatch], pct: int) -> Iterator[pa.RecordBatch]:
+    """Members that the bound on their overlap holds together, with the least of them."""
+
+    def found():
+        for t in _groups(batches):
+            if len(t) < 2:
+                continue
+            names = t.column(4).to_numpy()
+            point = [np.frombuffer(x.as_buffer(), np.uint8) for x in t.column(6)]
+            index = Index(point, t.column(5).to_numpy(), t.column(3).to_numpy(), t.column(1)[0] != t.column(2)[0], pct)
+            component = np.arange(len(names))
+            for i in range(len(names)):
+                near = component[index.near(i)[0]]
+                if (near != component[i]).any():
+                    every = np.union1d(near, component[i])
+                    component[np.isin(component, every)] = every[0]
+            crowd = (np.bincount(component, minlength=len(names)) > 1)[component]
+            yield names[component[crowd]], names[crowd]
+
+    return _gathered(found(), ["hub", "set"])
+
+
+def _links(batches: Iterator[pa.RecordBatch], pct: int) -> Iterator[pa.RecordBatch]:
+    """Per member joined to another: the first of its component, and itself."""
+
+    def found():
+        for t in _groups(batches):
+            if len(t) < 2:
+                continue
+            names = t.column(4).to_numpy()
+            component = Members([np.frombuffer(s.as_buffer(), U64) for s in t.column(5)], t.column(3).to_numpy(), t.column(1)[0] != t.column(2)[0], pct).link()
+            joined = component != np.arange(len(component))
+            yield names[component[joined]], names[joined]
+
+    return _gathered(found(), ["a", "b"])
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """hub, i, j and block before the other columns: members of a hub go to so many blocks as its shingles need, of which any two
+    meet."""
+    blocks = members.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")).filter("blocks > 1")
+    zero = F.lit(0).cast("long")
+    dealt = members.join(blocks, "hub", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("set"), "blocks"), zero))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(zero, F.coalesce(F.col("blocks") - 1, zero))))
+    return dealt.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *(c for c in members.columns if c != "hub"))
 
 
 def _with_sets(documents: DataFrame, dealt: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -376,16 +442,15 @@ def classes(df: DataFrame, k: int = 5, pct: int = 80, doc_id: str = "doc_id", te
     met = stored(sent.repartition(buckets, "bucket").transform(mapped, _meet, MET), "met")
     docs = met.filter("kind = 0").select("id", "row", "n", "set")
     reps = docs.filter("n > 0").groupBy("set").agg(F.min("row").alias("row"), F.max("n").alias("n"), F.min("id").alias("id"))
-    near = stored(met.filter("kind = 1").select("hub", "set").distinct(), "near")
-    members = near.union(near.select("hub", F.col("hub").alias("set")).distinct())
-    sized = stored(members.join(reps.select("set", "row", "n"), "set"), "members")
-    # A hub's members are dealt to so many blocks, of which any two meet. Sets, being large, join when all that is known.
-    blocks = sized.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")).filter("blocks > 1")
-    dealt = sized.join(blocks, "hub", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("set"), "blocks"), F.lit(0).cast("long")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("blocks") - 1, F.lit(0).cast("long")))))
-    dealt = dealt.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set")
-    dealt = _with_sets(documents, dealt, sized.select("set", "row").distinct(), k).select("hub", "i", "j", "block", "set", "s")
-    links = dealt.repartition(buckets, "hub", "i", "j").sortWithinPartitions("hub", "i", "j").transform(mapped, lambda it: _search(it, pct), "a long, b long")
+    point = met.filter("kind = 1").groupBy("set").agg(F.first("n").alias("n"), F.first("point").alias("point"))
+    near = stored(met.filter("kind = 2").select("hub", "set").distinct(), "near")
+    members = stored(near.union(near.select("hub", F.col("hub").alias("set")).distinct()).join(point, "set").select("hub", "set", "n", "point"), "members")
+    met_by = lambda df, f, schema: df.repartition(buckets, "hub", "i", "j").sortWithinPartitions("hub", "i", "j", "set").transform(mapped, f, schema)
+    crowds = met_by(_dealt(members), lambda it: _crowds(it, pct), "hub long, set long").distinct()
+    crowds = stored(crowds.join(reps.select("set", "row", "n"), "set").select("hub", "set", "n", "row"), "crowds")
+    # Sets, being large, join when it is known where they go.
+    dealt = _with_sets(documents, _dealt(crowds).select("hub", "i", "j", "block", "set"), crowds.select("set", "row").distinct(), k)
+    links = met_by(dealt.select("hub", "i", "j", "block", "set", "s"), lambda it: _links(it, pct), "a long, b long")
     label = components(stored(links, "links"))
     own = reps.join(label.withColumnRenamed("id", "set"), "set", "left").select("set", F.coalesce("component", "set").alias("class"), "id")
     own = stored(own, "classes")
