@@ -1,7 +1,9 @@
 """HTML extraction: two-pass block rules.
 
-A page is cut into blocks of text at block tags. First pass: blocks in menus, notices, adverts and the like are bad; others are
-judged by length, stop-word density and link density, and short ones stay open. Second pass: an open block takes the
+A page is cut into blocks of text at block tags. First pass: blocks in elements for menus, forms and the like are bad, and so
+are those in elements whose class or id names such a part, unless that element holds nearly all of the page's prose (a name
+as has-sidebar says how the page is laid out); others are judged by length, stop-word density and link density, and short
+ones stay open. Second pass: an open block takes the
 label of its nearest decided neighbours (good only if all of them at the smaller distance, or both sides, agree; in an article good unless both sides are bad).
 
 Defined results: a null or empty page, or one without good blocks, gives an empty text of 0 code points; repeated rows are
@@ -28,6 +30,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 MARKS = frozenset(
     "ad ads adv advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted promotion related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
+READERS = frozenset("comment comments disqus replies reply".split())  # never the article, however long
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 STOP_WORDS = frozenset(
     "a about all also an and are as at be been but by can for from had has have he her his i if in into is it its more not of on one or our out she so that the their them there they this to up was we were what when which who will with would you your "
@@ -39,6 +42,8 @@ STOP_WORDS = frozenset(
 LONG = 140
 STOPS_GOOD = 0.25
 LINKS_BAD = 0.5
+#: Share of the page's prose that no menu, notice or advert has, whatever its class is called.
+MOST_PROSE = 0.8
 WORD = re.compile(r"\w+")
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
@@ -50,26 +55,40 @@ SPACES = re.compile(r"\s+")
 
 
 def _is_furniture(name: str, attrs: str, in_article: bool) -> bool:
+    """By the element, its role or its being hidden."""
     if name in FURNITURE or name == "header" and not in_article:
         return True
     for key, *values in ATTRIBUTE.findall(attrs):
         value = "".join(values).lower()
         key = key.lower()
-        if key in ("class", "id") and name not in ("html", "body", "article", "main"):
-            if any(x in MARKS for x in re.split(r"[\s_-]+", value)):
-                return True
-        elif key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
+        if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
     return False
 
 
-def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
-    """(text, share of its characters in links, in furniture, in an article) in page order."""
-    out: list[tuple[str, float, bool, bool]] = []
+def _marks(name: str, attrs: str) -> set[str]:
+    """Parts of its class and id names that stand for page furniture."""
+    if name in ("html", "body", "article", "main"):
+        return set()
+    named = ("".join(values).lower() for key, *values in ATTRIBUTE.findall(attrs) if key.lower() in ("class", "id"))
+    return {x for value in named for x in re.split(r"[\s_-]+", value) if x in MARKS}
+
+
+Block = tuple[str, float, bool, bool]
+
+
+def blocks(page: str) -> list[Block]:
+    """(text, share of its characters in links, in furniture, in an article) in page order. Time is linear in the page."""
+    out: list[Block] = []
+    within: list[int] = []  # for each block, the innermost open element with marks
+    marked: list[tuple[int, bool]] = []  # its parent of this kind, and whether it is the readers'
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool]] = []  # open elements that matter, and whether they are furniture
+    stack: list[tuple[str, bool, bool]] = []  # open elements that matter, whether they are furniture, and whether they have marks
+    opened: dict[str, int] = {}
+    unclosed: set[str] = set()
     furniture = article = link = 0
+    inner = -1
     at, n = 0, len(page)
 
     def end():
@@ -78,6 +97,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
             text = SPACES.sub(" ", html.unescape("".join(parts))).strip()
             if text:
                 out.append((text, min(1.0, linked / len(text)), furniture > 0, article > 0))
+                within.append(inner)
             parts.clear()
         linked = 0
 
@@ -98,46 +118,86 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
                 if name == "head":  # its content is dropped by its own elements; a missing end must not lose the page
                     continue
                 if name in CLOSES:
-                    end_at = CLOSES[name].search(page, at)
+                    end_at = None if name in unclosed else CLOSES[name].search(page, at)
+                    if not end_at:
+                        unclosed.add(name)  # nor is there an end further on
                     at = end_at.end() if end_at else (n if name in ("script", "style", "textarea") else at)
             parts.append(" ")
             continue
         if name == "a":
             link = 0 if closing else 1
             continue
+        hard = not closing and _is_furniture(name, attrs, article > 0)
+        marks = _marks(name, attrs) if not closing else set()
         if name in INLINE:
             if name in ("br", "img", "input", "wbr"):
                 parts.append(" ")
-            if name != "span" or not (closing or _is_furniture(name, attrs, article > 0)):
+            if name != "span" or not (closing or hard or marks):
                 continue
         end()
         link = 0
         if name in VOID:
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    for x, bad in stack[i:]:
-                        furniture -= bad
-                        article -= x in ("article", "main")
-                    del stack[i:]
+            while opened.get(name):
+                x, bad, has = stack.pop()
+                opened[x] -= 1
+                furniture -= bad
+                article -= x in ("article", "main")
+                inner = marked[inner][0] if has else inner
+                if x == name:
                     break
-        elif name != "p" and not attrs.endswith("/") or _is_furniture(name, attrs, article > 0):
-            bad = _is_furniture(name, attrs, article > 0)
-            stack.append((name, bad))
-            furniture += bad
+        elif name != "p" and not attrs.endswith("/") or hard or marks:
+            stack.append((name, hard, bool(marks)))
+            opened[name] = opened.get(name, 0) + 1
+            furniture += hard
             article += name in ("article", "main")
+            if marks:
+                marked.append((inner, bool(marks & READERS)))
+                inner = len(marked) - 1
     end()
-    return out
-
-
-def classify(found: list[tuple[str, float, bool, bool]]) -> list[bool]:
+    return _without_marked(out, within, marked)
+
+
+def _stops(text: str) -> float:
+    words = WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def _without_marked(found: list[Block], within: list[int], marked: list[tuple[int, bool]]) -> list[Block]:
+    """The blocks, where those in an element with marks are furniture too, unless it is what holds the page's prose."""
+    if not marked:
+        return found
+    prose = [len(t) if not bad and len(t) >= LONG and links <= LINKS_BAD and _stops(t) >= STOPS_GOOD / 3 else 0 for t, links, bad, _ in found]
+    readers = [False] * len(marked)
+    for i, (parent, own) in enumerate(marked):
+        readers[i] = own or parent >= 0 and readers[parent]
+    articles = [i for i, x in enumerate(found) if x[3] and prose[i] and (within[i] < 0 or not readers[within[i]])]
+    keep = [False] * len(marked)
+    if not any(within[i] < 0 for i in articles):
+        held = [0] * len(marked)
+        total = 0
+        for i in articles or range(len(found)):
+            if within[i] < 0 or not readers[within[i]]:
+                total += prose[i]
+                if within[i] >= 0:
+                    held[within[i]] += prose[i]
+        for i in range(len(marked) - 1, -1, -1):
+            if marked[i][0] >= 0:
+                held[marked[i][0]] += held[i]
+            keep[i] = total > 0 and held[i] >= MOST_PROSE * total
+    bad = [False] * len(marked)
+    for i, (parent, _) in enumerate(marked):
+        bad[i] = not keep[i] or parent >= 0 and bad[parent]
+    return [(t, links, f or w >= 0 and bad[w], a) for (t, links, f, a), w in zip(found, within)]
+
+
+def classify(found: list[Block]) -> list[bool]:
     """Whether each block is main text."""
     has_article = any(a and not f for _, _, f, a in found)
     label: list[bool | None] = []
     for text, links, furniture, article in found:
-        words = WORD.findall(text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+        stops = _stops(text)
         if furniture or links > LINKS_BAD or has_article and not article:
             label.append(False)
         elif len(text) >= LONG and (stops >= STOPS_GOOD or article):

@@ -35,14 +35,16 @@ SHAPES = {
     "web_token": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s*(?:[A-Za-z][A-Za-z0-9-]{0,40}:[^\n]{0,400}\n\s*){0,20}[A-Za-z0-9+/=\s]{16,}-----END [A-Z ]*PRIVATE KEY-----",
     "assigned": r"(?:\b[A-Za-z0-9_-]{0,64}?)?(?i:password|passwd|pwd|secret|token|api[_-]?key|auth|bearer|access[_-]?key|client[_-]?secret)(?:s|[0-9]{1,4})?(?:[_-][A-Za-z0-9_-]{0,64}|[A-Z][a-z0-9][A-Za-z0-9_-]{0,64})?\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<v>[^\s\"',;]{8,})",
-    "opaque": r"\b(?=[A-Za-z_+/-]{0,64}[0-9])(?=[0-9_+/-]{0,64}[A-Za-z])[A-Za-z0-9_+/-]{20,}={0,2}",
+    "opaque": r"(?<![A-Za-z0-9_+/-])[+/-]*(?P<o>[A-Za-z0-9_][A-Za-z0-9_+/-]{19,}={0,2})",
 }
 SECRET_WORDS = "password passwd pwd secret token api key apikey auth authorization bearer credential credentials private access login".split()
 HARMLESS_WORDS = "commit sha sha1 sha256 md5 checksum digest hash revision uuid guid version etag build image example sample placeholder changeme xxxx http https www file path id".split()
 COMMON_WORDS = "able about access account after again all also and any are back base been before block body book buffer build button call change check class client close code color column common config content count create current data date default delete description details device direct display document down each edit element email empty enable end error event example false field file filter find first for form format from function get global group handler have head height help hidden home icon image index info init input insert into item java just key kind label last left length level line link list load local log long main make manager map match max menu message method min mode model module more name network new next node not null number object off only open option order output page panel parent part pass path place plain point position post prev print process project property public query read record reference remove render request reset resource response result right root row run save script search section select send server service session set shared show side simple size some source start state status string style submit super switch system table target task template test text than that the their them then there they thing this time title token top total tree true type under unit update upload user util value view visible was web what when where which width window with word work world would write year your".split()
 FEATURES = "length transitions entropy digits upper lower other hex dictionary vowels path url assigned quoted secret_near harmless_near shape repeat".split()
 
-PATTERN = re.compile("|".join(f"(?P<{k}>{v})" for k, v in SHAPES.items()))
+PATTERN = re.compile("|".join(f"(?P<{k}>{v})" for k, v in SHAPES.items() if k != "opaque"))
+OPAQUE = re.compile(SHAPES["opaque"])  # between the others; with a letter and a digit
+LETTER, DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
 # What each shape cannot do without. A text with none of it has no candidate and is passed over.
 HINTS = {
     "cloud_key": "AKIA|ASIA",
@@ -59,12 +61,22 @@ COMMON = frozenset(w for w in COMMON_WORDS if len(w) > 3)
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind), in order and apart."""
-    out = []
-    if HINT.search(text):
-        for m in PATTERN.finditer(text):
-            a, b = m.span("v") if m.lastgroup == "assigned" or m["v"] else m.span()
-            out.append((a, b, next(k for k in SHAPES if m[k])))
-    return out
+    out: list[tuple[int, int, str]] = []
+    if not HINT.search(text):
+        return out
+    taken = [(0, 0)]
+    for m in PATTERN.finditer(text):
+        taken.append(m.span())
+        a, b = m.span("v") if m["v"] else m.span()
+        out.append((a, b, next(k for k in SHAPES if k != "opaque" and m[k])))
+    if not DIGIT.search(text):
+        return out
+    more = []
+    for (_, lo), (hi, _) in zip(taken, [*taken[1:], (len(text), 0)]):
+        for m in OPAQUE.finditer(text, lo, hi):
+            if LETTER.search(m["o"]) and DIGIT.search(m["o"]):
+                more.append((*m.span("o"), "opaque"))
+    return sorted(out + more)
 
 
 def _coverage(s: str) -> float:
@@ -112,7 +124,7 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
     for _ in range(n):
         q, op, filler = r.choice(['"', "'", ""]), r.choice([" = ", "=", ": ", " : "]), prose()
         word = r.choice(["password", "token", "secret", "api_key", "auth", "client_secret", "pwd", "access_key", "bearer"])
-        case = r.randrange(12)
+        case = r.randrange(14)
         if case == 0:
             out.append((r.choice(["AKIA", "ASIA"]) + pick(upper, 16), filler + " ", " " + prose(), "cloud_key", 1))
         elif case == 1:
@@ -129,6 +141,11 @@ def labelled_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
             out.append(("-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12)), f"{filler} {r.choice(['uuid', 'id', 'guid'])}{r.choice([' ', op])}", " ", "opaque", 0))
         elif case == 8:
             out.append((r.choice(["_", "-", "/"]).join(r.choice(COMMON_WORDS) for _ in range(5)) + pick(string.digits, 2), filler + " ", " ", "opaque", 0))
+        elif case == 12:
+            out.append((f"eyJ{pick(alnum, r.randint(12, 40))}.eyJ{pick(alnum + '_-', r.randint(12, 90))}.{pick(alnum + '_-', 43)}", filler + r.choice([" ", op, " Bearer "]), r.choice([" ", q]), "web_token", 1))
+        elif case == 13:
+            body = "\n".join(pick(alnum + "+/", 64) for _ in range(r.randint(2, 20)))
+            out.append((f"-----BEGIN {r.choice(['RSA ', 'EC ', 'OPENSSH ', ''])}PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----", filler + "\n", "\n", "private_key", 1))
         elif case == 9:
             out.append(("".join(w.title() for w in r.choices(COMMON_WORDS, k=2)) + r.choice(["", "()", ".value"]), f"{filler} {word}{op}", " ", "assigned", 0))
         elif case == 10:
