@@ -172,14 +172,12 @@ def brute_suffix(rows, length):
     return out
 
 
-def test_suffix_dedup_is_exact(spark, monkeypatch):
+def test_suffix_dedup_is_exact(spark):
     texts = near_copies(3) + [prose(60, 99)[3:250], "ab" * 200, "abc" * 100 + "ab" * 90, prose(30, 99) * 3]
     rows = list(zip(range(len(texts)), texts))
     want = brute_suffix(rows, 100)
     get = lambda df: {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.dedup(df).collect()}
     assert get(table(spark, texts)) == want
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_IDS", 0)  # the way beyond the bound
-    assert get(table(spark, texts)) == want
     assert suffix_dedup.dedup(table(spark, [])).count() == 0
 
 
@@ -188,6 +186,21 @@ def test_suffix_dedup_repeated_rows_are_one_document(spark):
     assert sorted((x.doc_id, x.n_removed > 0) for x in got) == [(1, False), (1, False), (2, True)]
 
 
+def test_suffix_dedup_never_cuts_bytes_of_another_text(spark):
+    """Rows without an id, and different texts under one id."""
+    a, b, c, d = (prose(60, i) for i in (1, 2, 3, 4))
+    rows = [(1, a), (5, a), (5, b), (None, c), (None, c + " " + d), (None, d), (7, c), (5, b), (None, None), (8, d[5:200])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({x: F.lit("x") for x in ("id", "bucket", "kind", "blob", "a.b", "own", "mark")})
+    got = suffix_dedup.dedup(df).collect()
+    assert len(got) == len(rows)
+    kept = sorted((str(x.doc_id), x.n_bytes, x.n_removed) for x in got)
+    full = lambda t: len(t.encode())
+    assert [x for x in kept if x[0] != "None"] == sorted([("1", full(a), 0), ("5", full(a), full(a)), ("5", full(b), 0), ("5", full(b), 0), ("7", full(c), full(c)), ("8", 195, 195)])
+    none = [x for x in kept if x[0] == "None"]
+    # c and d stay once each: in the two rows of their own or in the one that has both.
+    assert sum(x[1] - x[2] for x in none) in (full(c) + full(d), full(c) + full(d) + 1)
+
+
 def test_suffix_dedup_of_a_very_long_text(spark):
     rng = np.random.default_rng(4)
     long = rng.integers(97, 123, (1 << 24) + 200_000, dtype=np.uint8).tobytes().decode()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tsqc.llm import jaccard_join, quality_rules, token_counts
+from tsqc.llm import jaccard_join, quality_rules, suffix_dedup, token_counts
 from tsqc.llm.common import new_path, read_table
 
 
@@ -25,8 +25,6 @@ def op2_token_counts(spark, sf_dir):
 
 
 def op3_suffix_dedup(spark, sf_dir):
-    from tsqc.llm import suffix_dedup
-
     return suffix_dedup.dedup(read_table(spark, sf_dir, "documents")).drop("spans")
 
 
@@ -74,4 +72,4 @@ def op10_ngram_jaccard_join(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_suffix_dedup, op4_secret_scans, op5_packing, op6_language_id, op7_media_columns, op8_html_extraction, op9_mixing, op10_ngram_jaccard_join)}
-ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op2_token_counts": token_counts.ORACLE, "op10_ngram_jaccard_join": jaccard_join.ORACLE}
+ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op2_token_counts": token_counts.ORACLE, "op3_suffix_dedup": suffix_dedup.ORACLE, "op10_ngram_jaccard_join": jaccard_join.ORACLE}

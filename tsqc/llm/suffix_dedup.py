@@ -14,8 +14,9 @@ Entries travel packed, to the task that owns their first fingerprint; what a bat
 anything is sent, so a passage sends one entry per batch and different block, however often it repeats. Every decision rests on two fingerprints, of 128
 bits together, or 96 for single windows. Earlier means a smaller id, or an earlier start in the same text.
 
-Defined results: a null text is empty; a text shorter than LENGTH loses nothing; rows of one id count as one document, so
-a repeated row is no copy of itself; a null id comes before all others; an empty table gives no rows; other columns do not matter.
+Defined results: a null text is empty; a text shorter than LENGTH loses nothing; rows of one id and text are one document, so
+a repeated row is no copy of itself; different texts under one id, or without an id, are documents of their own, in the order
+of a hash of the text; a null id comes before all others; an empty table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsqc.llm.common import Rolling, mapped, partitions, splitmix, stored
+from tsqc.llm.common import Rolling, bitmap, column, mapped, partitions, splitmix, stored
 
 U64 = np.uint64
 LENGTH = 100
@@ -40,11 +42,6 @@ PLACE = 24
 #: Entries that a task gathers before it sends them, and bytes it looks at together.
 FLUSH = 1_000_000
 LOOK = 1 << 20
-LEAST = -(1 << 63)
-
-#: Ids of documents with notes, 8 bytes each, that may be broadcast; with more, all texts are shuffled to meet their notes.
-BROADCAST_IDS = 2_000_000
-
 ENTRY = np.dtype([("one", "<u8"), ("two", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "<u4"), ("left", "<u2"), ("right", "<u2")])
 NOTE = np.dtype([("doc", "<i8"), ("at", "<u4"), ("n", "<u4"), ("ask", "u1")])  # windows at, at + 1, ... of doc; ask: to be entered one by one
 OUT = "kind int, bucket int, blob binary"
@@ -311,7 +308,7 @@ def _results(ids: list[int], texts: pa.Array, notes: dict[int, np.ndarray], leng
             kept.append(data[at:s])
             at = e
         kept.append(data[at:])
-        row = (None if doc == LEAST else doc, len(data), sum(e - s for s, e in spans), len(spans), hashlib.sha256(b"".join(kept)).hexdigest(), [{"start": s, "end": e} for s, e in spans])
+        row = (doc, len(data), sum(e - s for s, e in spans), len(spans), hashlib.sha256(b"".join(kept)).hexdigest(), [{"start": s, "end": e} for s, e in spans])
         for column, x in zip(rows, row):
             column.append(x)
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
@@ -322,21 +319,34 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
         yield _results(b.column(3).to_pylist(), b.column(4), notes, length)
 
 
-def _noted(notes: DataFrame, ask: bool) -> np.ndarray | None:
-    """Sorted ids that have notes (with ask, such notes); None if they are too many to broadcast."""
+def _noted(notes: DataFrame, ask: bool, name: str) -> Broadcast:
+    """Which documents have notes (with ask, such notes): a Bitmap of hashes of their ids, which lets a few others through."""
 
     def run(batches):
         for b in batches:
             n = np.frombuffer(b"".join(b.column(0).to_pylist()), NOTE)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(n["doc"][n["ask"] == 1] if ask else n["doc"]))], ["id"])
+            yield pa.RecordBatch.from_arrays([pa.array(splitmix(np.unique(n["doc"][n["ask"] == 1] if ask else n["doc"]).view(U64)).view(np.int64))], ["id"])
+
+    return bitmap(stored(notes.filter("kind = 0").select("blob").transform(mapped, run, "id long").distinct(), name), "id")
 
-    ids = stored(notes.filter("kind = 0").select("blob").transform(mapped, run, "id long").distinct(), "noted")
-    return np.sort(ids.toArrow().column(0).to_numpy()) if ids.count() <= BROADCAST_IDS else None
+
+def _named(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (id, text) whose ids are in the documents' order and differ where documents do. Where ids alone don't, also the
+    table (id, own) of what stands for them."""
+    own = df.select(column(doc_id).cast("long").alias("own"), column(text).cast("string").alias("text"))
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    ids = own.groupBy("own").agg(F.min(mark).alias("a"), F.max(mark).alias("b"))
+    if ids.filter("own IS NULL OR a != b").isEmpty():
+        return own.withColumnRenamed("own", "id"), None
+    ranks = own.select("own", mark.alias("mark")).distinct().orderBy(F.asc_nulls_first("own"), "mark").withColumn("id", F.monotonically_increasing_id())
+    ranks = stored(ranks, "ranks")
+    rows = own.withColumn("mark", mark).alias("r").join(ranks.alias("k"), F.expr("r.own <=> k.own AND r.mark = k.mark"))
+    return stored(rows.select("k.id", "r.text"), "named"), ranks.select("id", "own")
 
 
 def dedup(df: DataFrame, length: int = LENGTH, k: int = K, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the spans removed."""
-    documents = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST)).alias("id"), F.col(text).cast("string").alias("text"))
+    documents, names = _named(df, doc_id, text)
     buckets = partitions(df)
 
     def index(batches):
@@ -357,40 +367,53 @@ def dedup(df: DataFrame, length: int = LENGTH, k: int = K, doc_id: str = "doc_id
 
         return _send(found(), buckets)
 
-    context = df.sparkSession.sparkContext
     joined = "kind int, bucket int, blob binary, id long, text string"
 
-    def meeting(notes: DataFrame, ids: np.ndarray | None) -> DataFrame:
-        """Documents, those with these ids or all, after the notes on them."""
-        wanted = context.broadcast(ids)
+    def meeting(notes: DataFrame, wanted: Broadcast) -> DataFrame:
+        """Documents that have such notes, after the notes on them."""
 
         def addressed(batches):
             for b in batches:
-                own = b.column(0).to_numpy()
-                if wanted.value is not None:
-                    good = np.isin(own, wanted.value)
-                    b, own = b.filter(pa.array(good)), own[good]
-                n = len(own)
+                b = b.filter(pa.array(wanted.value.holds(splitmix(b.column(0).to_numpy().view(U64)))))
+                n = len(b)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(n, np.int32)), pa.array(_home(own, buckets).astype(np.int32)), pa.nulls(n, pa.binary()), b.column(0), b.column(1)], ["kind", "bucket", "blob", "id", "text"]
+                    [pa.array(np.ones(n, np.int32)), pa.array(_home(b.column(0).to_numpy(), buckets).astype(np.int32)), pa.nulls(n, pa.binary()), b.column(0), b.column(1)], ["kind", "bucket", "blob", "id", "text"]
                 )
 
         both = notes.filter("kind = 0").unionByName(documents.transform(mapped, addressed, joined), allowMissingColumns=True)
         return both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
 
     notes = stored(documents.transform(mapped, index, OUT).repartition(buckets, "bucket").transform(mapped, lambda it: _meet(it, buckets, True), OUT), "notes")
-    entered = meeting(notes, _noted(notes, True)).transform(mapped, lambda it: _windows(it, buckets, length), OUT)
+    entered = meeting(notes, _noted(notes, True, "asked")).transform(mapped, lambda it: _windows(it, buckets, length), OUT)
     single = stored(entered.repartition(buckets, "bucket").transform(mapped, lambda it: _meet(it, buckets, False), OUT), "single")
     every = notes.unionByName(single)
-    ids = _noted(every, False)
-    out = meeting(every, ids).transform(mapped, lambda it: _cut(it, length), RESULT)
-    if ids is None:
-        return out
-    noted = context.broadcast(ids)
+    noted = _noted(every, False, "noted")
+    out = meeting(every, noted).transform(mapped, lambda it: _cut(it, length), RESULT)
 
     def quiet(batches):
         for b in batches:
-            b = b.filter(pa.array(~np.isin(b.column(0).to_numpy(), noted.value)))
+            b = b.filter(pa.array(~noted.value.holds(splitmix(b.column(0).to_numpy().view(U64)))))
             yield _results(b.column(0).to_pylist(), b.column(1), {}, length)
 
-    return out.unionByName(documents.transform(mapped, quiet, RESULT))
+    out = out.unionByName(documents.transform(mapped, quiet, RESULT))
+    if names is None:
+        return out
+    return out.withColumnRenamed("doc_id", "id").join(names, "id").select(F.col("own").alias("doc_id"), *(c for c in out.columns if c != "doc_id"))
+
+
+#: dedup() in DuckDB's SQL, for ids that differ.
+ORACLE = """
+WITH d AS (SELECT doc_id, octet_length(encode(coalesce("text", ''))) AS n, lower(hex(encode(coalesce("text", '')))) AS h FROM documents
+), w AS (SELECT doc_id, h, unnest(range(0, n - 99)) AS s FROM d
+), k AS (SELECT doc_id, s, md5_number(substr(h, CAST(2 * s + 1 AS BIGINT), 200)) AS x FROM w
+), later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY x ORDER BY doc_id, s) AS r FROM k) WHERE r > 1
+), starts AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM later
+), runs AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM starts
+), spans AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM runs GROUP BY doc_id, run
+), ends AS (SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, n, n FROM d
+), pieces AS (SELECT e.doc_id, e.a, e.b, substr(d.h, CAST(2 * coalesce(lag(e.b) OVER p, 0) + 1 AS BIGINT), CAST(2 * (e.a - coalesce(lag(e.b) OVER p, 0)) AS BIGINT)) AS piece
+  FROM ends e JOIN d ON d.doc_id = e.doc_id WINDOW p AS (PARTITION BY e.doc_id ORDER BY e.a, e.b)
+)
+SELECT p.doc_id, CAST(any_value(d.n) AS BIGINT) AS n_bytes, CAST(sum(p.b - p.a) AS BIGINT) AS n_removed, CAST(count(*) FILTER (WHERE p.b > p.a) AS BIGINT) AS n_spans,
+  sha256(unhex(string_agg(piece, '' ORDER BY p.a, p.b))) AS kept_sha256
+FROM pieces p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id"""
