@@ -323,6 +323,28 @@ def test_token_rollup_is_idempotent(spark, tmp_path):
     assert [(x.docs, x.tokens) for x in store.compact(str(tmp_path / "c")).totals().collect()] == [(2, 2)]
 
 
+def test_token_rollup_of_a_tokenizer_against_brute_force(spark, tmp_path):
+    texts = [*ODD, prose(300, 1), "日本語のテキスト " * 50, "it's", prose(20, 2), prose(20, 2)]
+    rows = [(i, t, None if i % 3 == 0 else f"l{i % 2}", "hot" if i % 4 else None) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"v1": F.lit(1), "guess2": F.lit(2)})
+    labels = spark.createDataFrame([(2, 0, 1), (15, 1, 1), (15, 1, 1), (3, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    store = token_counts.by_ids(docs, labels, str(tmp_path / "r"), *queries._tokenizer())
+    want = collections.Counter()
+    for (i, _, lang, source), ids in zip(rows, ids_of(texts)):
+        if i not in (2, 15):
+            for version, n in ((1, len(ids) - 1), (2, len(ids))):
+                want[source, lang, version, "docs"] += 1
+                want[source, lang, version, "tokens"] += n
+    for r in (store, store.compact(str(tmp_path / "c"))):
+        got = {(x.source, x.lang, x.version, k): x[k] for x in r.totals().collect() for k in ("docs", "tokens")}
+        assert got == dict(want)
+    left = tmp_path / "r" / "batch=0009"
+    left.mkdir()
+    (left / "part-00000.parquet").write_bytes(b"cut off")  # a batch that was never finished
+    assert store.commit("0009", spark.createDataFrame([], token_counts.SCHEMA)) and {(x.source, x.lang, x.version, "docs"): x.docs for x in store.totals().collect()}.items() <= want.items()
+    assert token_counts.by_ids(docs.limit(0), labels, str(tmp_path / "e"), *queries._tokenizer()).totals().count() == 0
+
+
 def test_token_rollup_replay_after_compaction(spark, tmp_path):
     df = table(spark, ["a b", "c", None]).withColumn("tokens", token_counts.counter("words", 1))
     add = token_counts.changes(df, ("words", 1, 1, "tokens"))
@@ -452,6 +474,34 @@ def test_pipeline_stages(spark):
     assert sorted(x.doc_id for x in corpus_pipeline.language(spark, docs, SF).collect()) == [0, 1, 4]
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    texts = [*ODD, prose(200, 1), prose(200, 1), 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"']
+    docs = table(spark, texts, [None if i % 3 == 0 else i for i in range(len(texts))])
+    docs = docs.withColumns({x: F.lit("7") for x in ("domain", "rate", "copies", "copy", "n_tokens", "p_toxic", "a.b", "fit", "before", "row_key", "id")})
+    for df in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, SF)
+            assert name == "packing" or out.columns == df.columns, name
+            assert out.count() > 0 or df is not docs, name
+    found = {x.text: x.n_chars for x in corpus_pipeline.secrets(spark, docs, SF).collect()}
+    assert found['token = "[SECRET]"'] == 18 and found[None] == 0
+
+
+def test_language_stage_rejects_what_is_in_no_learned_language(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = ["Мы шли по дороге и говорили о том, что было вчера вечером. " * 3, "これは日本語の文章です。今日は天気がいいので散歩に行きます。" * 5, "qzxv wkjq xxzq vvkq zzqj " * 20]
+    rows = spark.createDataFrame([(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(planted)], docs.schema)
+    kept = {x.doc_id for x in corpus_pipeline.language(spark, docs.union(rows), SF).select("doc_id").collect()}
+    assert not kept & {10**9 + i for i in range(3)}
+    every = docs.filter("text rlike '[a-zA-Z]{3}'").count()
+    assert len(kept) >= 0.99 * every
+    assert corpus_pipeline.language(spark, rows, SF).count() == 3
+
+
 def test_pipeline_judges_each_row(spark):
     import corpus_pipeline
 

@@ -107,8 +107,13 @@ def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     if conf.get(_BATCH_SETTING, None) is None:
         conf.set(_BATCH_SETTING, BATCH_BYTES)
 
+    names = df.columns
+    odd = any(x in c for c in names for x in ".`")  # mapInArrow would look for a field of a column
+    if odd:
+        df = df.toDF(*(f"c{i}" for i in range(len(names))))
+
     def run(batches):
-        yield from f(batches)
+        yield from f((b.rename_columns(names) for b in batches) if odd else batches)
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim:

@@ -77,6 +77,15 @@ class Model:
     log_prob: np.ndarray  # bucket x language
     prior: np.ndarray
 
+    def fit(self, best: np.ndarray, like: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """How near texts of n n-grams and these log-likelihoods may be to the usual mean of their best language: 1 there, 0 at
+        that of n-grams at random. Two standard errors count for the text, so a short one is hardly ever far off."""
+        p = np.exp(self.log_prob[1:].astype(np.float64))
+        usual, random = (p * self.log_prob[1:]).sum(0), self.log_prob[1:].mean(0, dtype=np.float64)
+        spread = np.sqrt((p * (self.log_prob[1:] - usual) ** 2).sum(0))
+        n = np.maximum(n, 1)
+        return (like / n + 2 * spread[best] / np.sqrt(n) - random[best]) / np.maximum(usual - random, 1e-9)[best]
+
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", bound: int = TRAIN_BOUND) -> Model:
     """Learns from rows with a text and a language, of which a sample by id hash of about bound rows is used."""
@@ -120,9 +129,9 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of df, with lang_pred and score: the posterior of the language predicted."""
-    names = [fresh(df.columns, "lang_pred"), fresh(df.columns, "score")]
-    schema = T.StructType([*df.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    """All columns of df, with lang_pred, score (the posterior of the language predicted) and fit (see Model; 0.0 for `und`)."""
+    names = [fresh(df.columns, x) for x in ("lang_pred", "score", "fit")]
+    schema = T.StructType([*df.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.DoubleType())])
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text)
 
@@ -130,16 +139,18 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         m = shared.value
         languages = np.array([*m.languages, "und"], object)
         for b in batches:
-            best, post = np.full(b.num_rows, len(languages) - 1), np.zeros(b.num_rows)
+            best, post, fit = np.full(b.num_rows, len(languages) - 1), np.zeros(b.num_rows), np.zeros(b.num_rows)
             for first, run in _runs(b.column(at).to_pylist()) if m.languages else ():
                 grams, starts, letters = _grams(run, len(m.log_prob))
                 like = m.prior + sum(np.add.reduceat(m.log_prob[g], starts, axis=0, dtype=np.float64) for g in grams)
-                like = np.exp(like - like.max(1, keepdims=True))
                 good, rows = letters > 0, np.arange(len(run))
                 top = like.argmax(1)
+                n = sum(np.add.reduceat(g > 0, starts, dtype=np.int64) for g in grams)
+                fit[first : first + len(run)] = np.where(good, m.fit(top, like[rows, top] - m.prior[top], n), 0.0)
+                like = np.exp(like - like.max(1, keepdims=True))
                 best[first : first + len(run)] = np.where(good, top, len(languages) - 1)
                 post[first : first + len(run)] = np.where(good, like[rows, top] / like.sum(1), 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(languages[best].tolist(), pa.string()), pa.array(post)], [*b.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(languages[best].tolist(), pa.string()), pa.array(post), pa.array(fit)], [*b.schema.names, *names])
 
     return df.transform(mapped, score, schema)
 

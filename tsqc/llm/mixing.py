@@ -9,7 +9,8 @@ steps' K-vectors, so no state is kept per document.
 
 Defined results: a null or empty text has 0 tokens and the posteriors of a text without telling words; repeated rows have rates each; a label
 counts once per id; without labels there is one domain, `unknown`, and all rates are 1; an empty table gives no rows; null ids have no label.
-Targets of domains that no document belongs to cannot be met and are left out.
+Targets of domains that no document belongs to cannot be met and are left out. Where a kept column has the name of one of
+the operator's, that one gets a leading underscore.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsqc.llm.common import Rolling, chunks, mapped, stored, words
+from tsqc.llm.common import Rolling, chunks, column, fresh, mapped, stored, words
 
 BUCKETS = 1 << 16
 #: A bucket tells domains apart in a language if some domain's count has this evidence (a chi-square term). Where fewer texts than this share
@@ -262,7 +263,7 @@ def mix(docs: DataFrame, labels: DataFrame, label: Column | None = None, targets
     model = train(docs, labels, label, doc_id=doc_id, text=text)
     k = len(model.domains)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [F.col(doc_id).cast("long").alias("doc_id"), *(F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep or []))]
+    kept = [F.col(doc_id).cast("long").alias("doc_id"), *(column(c).alias(f"keep_{i}") for i, c in enumerate(keep or []))]
     source = docs.select(*kept, F.col(text).cast("string").alias("text_"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("n", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))])
     m = len(source.columns) - 1
@@ -290,7 +291,6 @@ def mix(docs: DataFrame, labels: DataFrame, label: Column | None = None, targets
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(F.col("rate") + chance).cast("int")
     best = F.get(F.array(*map(F.lit, model.domains)), F.array_position("p", F.array_max("p")).cast("int") - 1)
-    return rated.select(
-        "doc_id", *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep or [])), F.col("n").alias("n_tokens"), best.alias("domain"),
-        *(F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(model.domains)), "rate", copies.alias("copies"),
-    )
+    own = {"n_tokens": F.col("n"), "domain": best, **{f"p_{d}": F.get("p", F.lit(i)) for i, d in enumerate(model.domains)}, "rate": F.col("rate"), "copies": copies}
+    taken = ["doc_id", *(keep or [])]
+    return rated.select("doc_id", *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep or [])), *(x.alias(fresh(taken, name)) for name, x in own.items()))

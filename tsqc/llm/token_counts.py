@@ -6,14 +6,21 @@ committed is not written again, and a retry of one that is not overwrites it, so
 the committed folders; compact() folds them into one, with a list of the batches in it, which are not written again either. Only sums by key are stored or shuffled, pre-aggregated in the map
 tasks, so a hot source costs no more than another.
 
+Counts are ids of a public tokenizer (with_ids) or matches of a pattern (counter), each under its version.
+
 Defined results: a null text has 0 tokens; null sources and languages are keys of their own; repeated rows count each;
 keys whose documents and tokens are both 0 are left out of totals; no batch gives no rows.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tsqc.llm.common import column, fresh, mapped, stored
+from tsqc.llm.tokens import encoder
 
 KEYS = ["source", "lang", "tokenizer", "version"]
 SCHEMA = "source string, lang string, tokenizer string, version int, docs long, tokens long"
@@ -26,6 +33,22 @@ def counter(tokenizer: str, version: int, text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(PATTERNS[tokenizer, version])), F.lit(0)).cast("long")
 
 
+def with_ids(df: DataFrame, json_path: str, rank_path: str, name: str, text: str = "text") -> DataFrame:
+    """All columns of df but the text, with the number of ids (name, or _name if that is taken) of the tokenizer at these paths."""
+    kept = [c for c in df.columns if c != text]
+    name = fresh(kept, name)
+    source = df.select(*(column(c) for c in kept), column(text).cast("string").alias(text))
+
+    def run(batches):
+        enc = encoder(json_path, rank_path)
+        for b in batches:
+            texts = b.column(len(kept)).to_pylist()
+            count = [len(ids) for at in range(0, len(texts), 512) for ids in enc.encode([t or "" for t in texts[at : at + 512]])]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(count, pa.int64())], [*b.schema.names[:-1], name])
+
+    return source.transform(mapped, run, T.StructType([*source.schema.fields[:-1], T.StructField(name, T.LongType())]))
+
+
 def changes(df: DataFrame, *signed: tuple[str, int, int, str]) -> DataFrame:
     """Signed changes of rows with source and lang, in one scan: per row one change for each (tokenizer, version, sign, column of the count)."""
     each = [F.struct(F.lit(t).alias("tokenizer"), F.lit(v).alias("version"), F.lit(sign).cast("long").alias("docs"), (F.col(c) * sign).cast("long").alias("tokens")) for t, v, sign, c in signed]
@@ -87,7 +110,7 @@ class Rollup:
         return new
 
 
-#: Totals of the query's batches: all documents counted by version 1, then revised to version 2, toxic ones deleted.
+#: Totals of rollup_of() over patterns: all documents counted by version 1, then revised to version 2, toxic ones deleted.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS v1, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^\x20\x09-\x0DA-Za-z0-9]')) AS v2 FROM documents),
 k AS (SELECT *, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS gone FROM d)
@@ -96,16 +119,29 @@ UNION ALL SELECT source, lang, 'words', 2::INTEGER, count(*)::BIGINT, sum(v2)::B
 """
 
 
-def rollup_of(docs: DataFrame, labels: DataFrame, path: str) -> Rollup:
-    """Batches over whole tables: inserts with lengths as a first guess of version 1; their revision to true counts, with
-    inserts by version 2; deletes of toxic documents."""
-    spark = docs.sparkSession
-    counted = docs.select("doc_id", "source", "lang", F.coalesce(F.length("text"), F.lit(0)).alias("guess"), counter("words", 1).alias("v1"), counter("words", 2).alias("v2"))
-    store = Rollup(spark, path)
-    store.commit("0001", changes(counted, ("words", 1, 1, "guess")))
-    revised = changes(counted, ("words", 1, -1, "guess"), ("words", 1, 1, "v1"), ("words", 2, 1, "v2"))
+def rollup_of(counted: DataFrame, labels: DataFrame, path: str, first: tuple[str, int, str], second: tuple[str, int, str]) -> Rollup:
+    """Batches over a whole table of counts, the (tokenizer, version, column) first and second: inserts with the column guess
+    for the first; their revision to true counts, with inserts by the second; deletes of toxic documents."""
+    (t1, v1, c1), (t2, v2, c2) = first, second
+    store = Rollup(counted.sparkSession, path)
+    store.commit("0001", changes(counted, (t1, v1, 1, "guess")))
+    revised = changes(counted, (t1, v1, -1, "guess"), (t1, v1, 1, c1), (t2, v2, 1, c2))
     store.commit("0002", revised)
     toxic = labels.filter("toxic = 1").select("doc_id").distinct()
-    store.commit("0003", changes(counted.join(toxic, "doc_id", "left_semi"), ("words", 1, -1, "v1"), ("words", 2, -1, "v2")))
+    store.commit("0003", changes(counted.join(toxic, "doc_id", "left_semi"), (t1, v1, -1, c1), (t2, v2, -1, c2)))
     store.commit("0002", revised)  # a replay changes nothing
     return store
+
+
+def by_patterns(docs: DataFrame, labels: DataFrame, path: str) -> Rollup:
+    guess = F.coalesce(F.length("text"), F.lit(0)).alias("guess")
+    counted = docs.select("doc_id", "source", "lang", guess, counter("words", 1).alias("v1"), counter("words", 2).alias("v2"))
+    return rollup_of(counted, labels, path, ("words", 1, "v1"), ("words", 2, "v2"))
+
+
+def by_ids(docs: DataFrame, labels: DataFrame, path: str, json_path: str, rank_path: str, tokenizer: str = "byte_bpe_50k") -> Rollup:
+    """Ids are version 1 of the tokenizer; version 2 counts the id that ends a document as well."""
+    guess = F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / 4).alias("guess")
+    counted = with_ids(docs.select("doc_id", "source", "lang", guess, "text"), json_path, rank_path, "v1").withColumn("v2", F.col("v1") + 1)
+    counted = stored(counted, "counted")  # each text is encoded once
+    return rollup_of(counted, labels, path, (tokenizer, 1, "v1"), (tokenizer, 2, "v2"))
