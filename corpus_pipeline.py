@@ -13,15 +13,18 @@ from tsqc.llm import jaccard_join, language_id, mixing, packing, secret_scans
 from tsqc.llm.common import column, fresh, new_path, read_table, remove, stored
 from tsqc.llm.queries import _tokenizer
 
-#: A text whose likeliest language has a smaller posterior has no clear language.
-MIN_SCORE = 0.4
+#: A text whose n-grams are nearer to random ones than to those usual in its likeliest language is in none of them.
+MIN_FIT = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where no document has a language to learn from, all stay."""
     model = language_id.train(docs)
-    names = [fresh(docs.columns, x) for x in ("lang_pred", "score")]
+    if not model.languages:
+        return docs
+    pred, _, fit = (fresh(docs.columns, x) for x in ("lang_pred", "score", "fit"))
     found = language_id.predict(docs, model)
-    return found.filter((F.col(names[0]) != "und") & (F.col(names[1]) >= MIN_SCORE)).select(*map(column, docs.columns))
+    return found.filter((F.col(pred) != "und") & (F.col(fit) >= MIN_FIT)).select(*map(column, docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,16 +42,24 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """n_chars follows the text where it is redacted."""
-    out = secret_scans.redact(docs, secret_scans.train())
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    """n_chars, if it is a number, follows the text of the rows that are redacted; it stays as it is in all others."""
+    before = fresh(docs.columns, "before")
+    kind = dict(docs.dtypes).get("n_chars")
+    if kind not in ("int", "bigint"):
+        return secret_scans.redact(docs, secret_scans.train())
+    out = secret_scans.redact(docs.withColumn(before, F.length("text")), secret_scans.train())
+    changed = F.col("n_chars") + F.length("text") - F.col(before)
+    return out.withColumn("n_chars", F.coalesce(changed, "n_chars").cast(kind)).drop(before)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document with rate 2.3 is there two or three times."""
     labels = read_table(spark, sf_dir, "labels")
-    rated = mixing.mix(docs, labels, keep=[c for c in docs.columns if c != "doc_id"])
-    return rated.filter("copies > 0").select(*(f"`{c}`" for c in docs.columns), F.explode(F.sequence(F.lit(1), "copies")).alias("copy__")).drop("copy__")
+    kept = [c for c in docs.columns if c != "doc_id"]
+    rated = mixing.mix(docs, labels, keep=kept)
+    copies = fresh(["doc_id", *kept], "copies")
+    each = F.explode(F.sequence(F.lit(1), copies)).alias(fresh(docs.columns, "copy"))
+    return rated.filter(F.col(copies) > 0).select(*map(column, docs.columns), each).drop(fresh(docs.columns, "copy"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
