@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pytest
@@ -252,3 +253,53 @@ def test_stream_flags(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.flagged for r in spark.table("flags").collect()) == [False, True, True]
+
+
+def test_sliding_checks_over_blocks_equal_whole_series(spark):
+    rnd = random.Random(4)
+    rows = [("S", v, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=10 * i), None if rnd.random() < 0.1 else 5.0 if 100 < i < 190 else 5.0 + 1e-9 * rnd.random() if i < 60 else rnd.gauss(0, 1) * (30 if rnd.random() < 0.02 else 1)) for v in "ab" for i in range(700)]
+    df = spark.createDataFrame(rows, "station string, variable string, ts timestamp_ntz, value double")
+    whole, cut = checks._sliding(df, 6.0, 24.0), checks._sliding(df, 6.0, 24.0, block_rows=37)
+    key = lambda x: sorted((r.variable, r.ts, r.variance, r.zscore) for r in x.collect())
+    got = key(whole)
+    assert got == key(cut) and len(got) == 1400
+
+    def windows(v, k):
+        return [np.array([x for x in v[max(0, i - k // 2) : i + (k - 1) // 2 + 1] if x is not None and not np.isnan(x)]) for i in range(len(v))]
+
+    for name in "ab":
+        v = [r[3] for r in rows if r[1] == name]
+        flat = [len(x) >= 12 and x.var(ddof=1) <= 1e-12 for x in windows(v, 36)]
+        off = [np.nan if x is None or len(w) < 48 else x - np.median(w) for x, w in zip(v, windows(v, 144))]
+        mad = [np.median(np.abs(w)) if len(w) >= 48 else 0 for w in windows(off, 144)]
+        far = [bool(m) and abs(0.6745 * o / m) >= 4 for o, m in zip(off, mad)]
+        assert [(r[2], r[3]) for r in got if r[0] == name] == list(zip(flat, far)) and any(flat) and any(far)
+
+
+def test_gaussian_trend_with_missing_start(spark):
+    values = [None, None, 2.0, None, 4.0, 4.0, None]
+    df = spark.createDataFrame([("S", "a", dt.datetime(2024, 1, 1, i), v) for i, v in enumerate(values)], "station string, variable string, ts timestamp_ntz, value double")
+    full = [2.0, 2.0, 2.0, 2.0, 4.0, 4.0, 4.0]
+    w = smooth.kernel(1)
+    want = [sum(x * full[min(6, max(0, i + j - len(w) // 2))] for j, x in enumerate(w)) for i in range(7)]
+    got = [r.trend for r in smooth.gaussian_trend(df, 1).orderBy("ts").collect()]
+    assert max(abs(a - b) for a, b in zip(got, want)) < 1e-12
+    by_hours = smooth.gaussian_trend_hours(df, 1.0).orderBy("ts").collect()
+    assert [r.trend for r in by_hours] == got
+
+
+def test_local_regression_equals_row_by_row(spark):
+    rng = np.random.default_rng(2)
+    days = np.sort(rng.uniform(0, 700, 500))
+    x = np.column_stack([np.ones(500), days, np.sin(days / 58), np.cos(days / 58), rng.gamma(2, 3, 500)])
+    y = 3 + 0.01 * days + 2 * x[:, 2] + 0.3 * x[:, 4] + rng.normal(0, 0.3, 500)
+    for q, columns in ((None, x[:, :4]), (x[:, 4], x), (None, np.column_stack([x[:, :3], x[:, 2]]))):  # the last has two equal columns
+        got = regress._predict(days, columns, y, q, 5.0, np.ones(500, bool), 90.0, 30)
+        for i in range(0, 500, 23):
+            w = np.exp(-(((days - days[i]) / 90) ** 2)) * (1 if q is None else np.exp(-(((q - q[i]) / 5.0) ** 2)))
+            use = w > 1e-3
+            if use.sum() < 30:
+                assert np.isnan(got[i])
+                continue
+            beta = np.linalg.lstsq(columns[use] * w[use, None], y[use] * w[use], rcond=None)[0]
+            assert abs(got[i] - columns[i] @ beta) < 1e-6

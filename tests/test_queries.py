@@ -20,7 +20,7 @@ def plain(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["step_infer", "season_coverage", "sentinel_mask", "dup_first", "rle_compat", "rle_islands", "binary_switch", "flat_values", "mask_from_runs", "decimal_hist", "chk_zscore", "chk_isolated", "band_410", "resample_median", "sanitize_names"])
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, name):
     con = duckdb.connect()
     for f in os.listdir(SF):

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsqc.functions.core import HOUR, SERIES, centred, is_finite, micros, ordered, points, yes
+from tsqc.functions.core import HOUR, SERIES, is_finite, micros, ordered, points, yes
 from tsqc.operators.positions import with_pos
 from tsqc.operators.runs import flat_values, mask_from_runs, rle
 from tsqc.operators.stats import any_of
 from tsqc.operators.time_ops import infer_step
-from tsqc.operators.windows import by_points
 
 CHECKS = ["range", "missing", "plateau", "constants", "variance", "zscore", "jumps", "isolated", "unilof"]
 
@@ -31,43 +32,66 @@ def check_plateau(df: DataFrame, min_hours: float = 2.0, mode: str = "compat") -
     return mask_from_runs(df, flat_values(df.select(*SERIES, "ts", "value"), min_hours, mode=mode), "plateau").withColumn("constants", F.col("plateau"))
 
 
-def _with_points(df: DataFrame, hours: float) -> DataFrame:
-    return df.join(infer_step(df).select(*SERIES, points(hours, F.col("step_us")).alias("k__")), SERIES)
-
-
-def _variance(rows: DataFrame, k: int, threshold: float = 1e-12) -> DataFrame:
-    w = ordered().rowsBetween(*centred(k))
-    need = max(3, k // 3)
-    # A mean of squares less a square of the mean never gets exact, so frames are summed directly.
-    return rows.withColumn("variance", yes((F.count("value").over(w) >= need) & (F.var_samp("value").over(w) <= threshold)) if need <= k else F.lit(False))
-
-
-def _zscore(rows: DataFrame, k: int, threshold: float = 4.0) -> DataFrame:
-    w = ordered().rowsBetween(*centred(k))
-    need = max(5, k // 3)
-    if need > k:
-        return rows.withColumns({"zscore": F.lit(False), "unilof": F.lit(False)})
-    rows = rows.withColumn("med__", F.when(F.count("value").over(w) >= need, F.expr("percentile(value, 0.5)").over(w)))
-    rows = rows.withColumn("dev__", F.abs(F.col("value") - F.col("med__")))
-    mad = F.when(F.count("dev__").over(w) >= need, F.expr("percentile(dev__, 0.5)").over(w))
-    z = F.lit(0.6745) * (F.col("value") - F.col("med__")) / F.nullif(mad, F.lit(0.0))
-    return rows.withColumn("zscore", yes(F.abs(z) >= threshold)).withColumn("unilof", F.col("zscore")).drop("med__", "dev__")
+def _sliding(df: DataFrame, variance_hours: float | None, zscore_hours: float | None, flat: float = 1e-12, threshold: float = 4.0, block_rows: int = 50_000) -> DataFrame:
+    """variance and zscore, as far as they have hours, over centred windows of as many rows as each series' step gives.
+
+    Medians of sliding windows have no built-in that does less than sort each window anew, and frames of Spark are fixed when a
+    plan is made, so pandas slides them, over blocks of rows with the rows in reach around them. Only flagged rows come back.
+    """
+    names = [n for n, h in (("variance", variance_hours), ("zscore", zscore_hours)) if h is not None]
+    hours = [h for h in (variance_hours, zscore_hours) if h is not None]
+    lengths = infer_step(df).select(*SERIES, *(points(h, F.col("step_us")).alias(f"k_{n}__") for n, h in zip(names, hours)))
+    rows = with_pos(df)
+    reach = F.greatest(*(F.col(f"k_{n}__") * (2 if n == "zscore" else 1) for n in names), F.lit(1))
+    block = lambda at: F.floor(at / block_rows)
+    near = F.sequence(F.greatest(block(F.col("pos") - reach), F.lit(0)), block(F.col("pos") + reach))
+    spread = rows.select(*SERIES, "pos", "value").join(lengths, SERIES).withColumns({"home__": block(F.col("pos")), "block__": F.explode(near)})
+
+    def variance(value: pd.Series, k: int) -> pd.Series:
+        need = max(3, k // 3)
+        if need > k:
+            return pd.Series(False, index=value.index)
+        window = value.rolling(k, min_periods=need, center=True)
+        wide = window.max() - window.min()
+        low = wide == 0
+        # Two values this far apart alone give more than the threshold; what is left is summed directly.
+        for i in np.flatnonzero((wide > 0) & (wide * wide <= 2 * k * flat)):
+            near = value.iloc[max(0, i - k // 2) : i + (k - 1) // 2 + 1]
+            low.iloc[i] = near.var(ddof=1) <= flat
+        return low
+
+    def zscore(value: pd.Series, k: int) -> pd.Series:
+        need = max(5, k // 3)
+        if need > k:
+            return pd.Series(False, index=value.index)
+        off = value - value.rolling(k, min_periods=need, center=True).median()
+        mad = off.abs().rolling(k, min_periods=need, center=True).median()
+        return (0.6745 * off / mad.where(mad != 0)).abs() >= threshold
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", ignore_index=True)
+        value = pdf["value"].astype(float)
+        found = pdf.assign(**{n: {"variance": variance, "zscore": zscore}[n](value, int(pdf[f"k_{n}__"].iloc[0])) for n in names})
+        return found[(pdf["home__"] == pdf["block__"]) & found[names].any(axis=1)][[*SERIES, "pos", *names]]
+
+    bad = spread.groupBy(*SERIES, "block__").applyInPandas(judge, "station string, variable string, pos long, " + ", ".join(f"{n} boolean" for n in names))
+    out = rows.join(bad, [*SERIES, "pos"], "left").drop("pos")
+    return out.withColumns({n: yes(F.col(n)) for n in names})
 
 
 def check_variance(df: DataFrame, hours: float = 6.0, threshold: float = 1e-12) -> DataFrame:
-    return by_points(_with_points(df, hours), "k__", lambda rows, k: _variance(rows, k, threshold)).drop("k__")
+    return _sliding(df, hours, None, flat=threshold)
 
 
 def check_zscore(df: DataFrame, hours: float = 24.0, threshold: float = 4.0) -> DataFrame:
-    """Robust z of a value against its window's median and the median of deviations, each from its own row's median."""
-    return by_points(_with_points(df, hours), "k__", lambda rows, k: _zscore(rows, k, threshold)).drop("k__")
+    """Robust z of a value against its window's median and the median of deviations, each from its own row's median. unilof is the
+    same."""
+    return _sliding(df, None, hours, threshold=threshold).withColumn("unilof", F.col("zscore"))
 
 
 def check_windows(df: DataFrame, variance_hours: float = 6.0, zscore_hours: float = 24.0) -> DataFrame:
-    """Both of them, with one branch of the plan per pair of window lengths."""
-    k = F.array(*[points(h, F.col("step_us")) for h in (variance_hours, zscore_hours)])
-    with_k = df.join(infer_step(df).select(*SERIES, k.alias("k__")), SERIES)
-    return by_points(with_k, "k__", lambda rows, x: _zscore(_variance(rows, x[0]), x[1])).drop("k__")
+    """Both of them, in one pass."""
+    return _sliding(df, variance_hours, zscore_hours).withColumn("unilof", F.col("zscore"))
 
 
 def check_jumps(df: DataFrame, threshold: float = 5.0) -> DataFrame:

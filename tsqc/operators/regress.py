@@ -21,24 +21,43 @@ def reach(half_width: float = HALF_WIDTH) -> float:
     return half_width * math.sqrt(-math.log(LEAST_WEIGHT))
 
 
+#: Weights that a task holds at once.
+CELLS = 4_000_000
+#: Normal equations of a worse condition are solved from the rows themselves.
+CONDITION = 1e9
+
+
 def _predict(t: np.ndarray, x: np.ndarray, y: np.ndarray, q: np.ndarray | None, hq: float, own: np.ndarray, half_width: float, minp: int) -> np.ndarray:
+    """Weighted least squares at each own row: the moments of many rows by one product of matrices, then a batch of solutions."""
     out = np.full(len(t), np.nan)
-    for i in np.flatnonzero(own):
-        lo, hi = np.searchsorted(t, (t[i] - reach(half_width), t[i] + reach(half_width)))
-        w = np.exp(-(((t[lo:hi] - t[i]) / half_width) ** 2))
+    if not own.any():
+        return out
+    # Near 1 and about 0, so that squares lose little.
+    mid, size = x.mean(0), np.maximum(x.std(0), 1e-12)
+    a = (x - mid) / size
+    a[:, 0] = 1.0
+    p = a.shape[1]
+    moments = np.concatenate(((a[:, :, None] * a[:, None, :]).reshape(len(t), p * p), a * y[:, None]), 1)
+    rows = np.flatnonzero(own)
+    for part in np.array_split(rows, max(1, len(rows) * len(t) // CELLS)):
+        w = np.exp(-(((t[None, :] - t[part, None]) / half_width) ** 2))
         if q is not None:
-            w = w * np.exp(-(((q[lo:hi] - q[i]) / hq) ** 2))
-        use = w > LEAST_WEIGHT
-        if use.sum() < minp:
+            w *= np.exp(-(((q[None, :] - q[part, None]) / hq) ** 2))
+        w[w <= LEAST_WEIGHT] = 0.0
+        enough = (w > 0).sum(1) >= minp
+        part, w = part[enough], w[enough]
+        if not len(part):
             continue
         # Rows are multiplied by their weights, so squares of weights count in the sum of squares.
-        a = x[lo:hi][use].copy()
-        a[:, 1] -= t[i]
-        here = x[i].copy()
-        here[1] -= t[i]
-        w = w[use]
-        beta = np.linalg.lstsq(a * w[:, None], y[lo:hi][use] * w, rcond=None)[0]
-        out[i] = here @ beta
+        sums = (w * w) @ moments
+        left, right = sums[:, : p * p].reshape(-1, p, p), sums[:, p * p :]
+        good = np.linalg.cond(left) < CONDITION
+        beta = np.zeros((len(part), p))
+        beta[good] = np.linalg.solve(left[good], right[good][:, :, None])[:, :, 0]
+        for i in np.flatnonzero(~good):
+            use = w[i] > 0
+            beta[i] = np.linalg.lstsq(a[use] * w[i][use, None], y[use] * w[i][use], rcond=None)[0]
+        out[part] = (a[part] * beta).sum(1)
     return out
 
 
@@ -67,7 +86,8 @@ def local_regression(df: DataFrame, discharge: str | None = None, half_width: fl
         yhat = _predict(t, np.column_stack(columns), pdf["y"].to_numpy(), q, float(pdf["hq"].iloc[0]) if discharge else 1.0, own & enough, half_width, minp)
         return pdf.assign(yhat=yhat)[[*SERIES, "ts", "yhat"]][own]
 
-    fitted = halo.groupBy(*SERIES, "block__").applyInPandas(fit, "station string, variable string, ts timestamp_ntz, yhat double")
+    # One row for each time, however often it is there.
+    fitted = halo.groupBy(*SERIES, "block__").applyInPandas(fit, "station string, variable string, ts timestamp_ntz, yhat double").dropDuplicates([*SERIES, "ts"])
     fitted = fitted.withColumn("yhat", F.when(~F.isnan("yhat"), F.col("yhat")))
     return df.join(fitted, [*SERIES, "ts"], "left").withColumn("residual", F.col("value") - F.col("yhat"))
 

@@ -7,7 +7,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsqc.functions.core import HOUR, ordered
+from tsqc.functions.core import HOUR, SERIES, ordered
+from tsqc.operators.time_ops import infer_step
+from tsqc.operators.windows import by_points
 
 
 def sigma_points(step_us: int, sigma_hours: float = 6.0, unit: str = "compat") -> int:
@@ -23,10 +25,10 @@ def kernel(sigma: int, cut: float = 4.0) -> list[float]:
 
 
 def filled(df: DataFrame, column: str = "value") -> DataFrame:
-    """Missing values take the last one before, or else the first one after."""
-    back = ordered().rowsBetween(Window.unboundedPreceding, 0)
-    ahead = ordered().rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumn("filled", F.coalesce(F.last(column, True).over(back), F.first(column, True).over(ahead)))
+    """Missing values take the last one before, or else (only those before the series' first value) the first one after."""
+    upto = ordered().rowsBetween(Window.unboundedPreceding, 0)
+    whole = ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return df.withColumn("filled", F.coalesce(F.last(column, True).over(upto), F.first(column, True).over(whole)))
 
 
 def gaussian_trend(df: DataFrame, sigma: int) -> DataFrame:
@@ -34,15 +36,18 @@ def gaussian_trend(df: DataFrame, sigma: int) -> DataFrame:
     w = kernel(sigma)
     reach = len(w) // 2
     df = filled(df)
-    whole = ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    near = F.collect_list("filled").over(ordered().rowsBetween(-reach, reach))
-    df = df.withColumns({"rank__": F.row_number().over(ordered()), "first__": F.first("filled").over(whole), "last__": F.last("filled").over(whole), "near__": near})
-    # The frame holds every row in reach; what lacks at its start or end is a repeated end value.
-    lack = F.greatest(F.lit(reach + 1) - F.col("rank__"), F.lit(0))
-    padded = F.concat(F.array_repeat("first__", lack), F.col("near__"), F.array_repeat("last__", F.lit(2 * reach + 1) - lack - F.size("near__")))
-    weights = F.array(*map(F.lit, w))
-    trend = F.aggregate(F.zip_with(padded, weights, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    df = df.withColumn("trend", F.when(F.col("first__").isNotNull(), trend))
-    return df.withColumn("residual", F.col("value") - F.col("trend")).drop("filled", "rank__", "first__", "last__", "near__")
-
-
+    o = ordered()
+    whole = o.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    df = df.withColumns({"first__": F.first("filled").over(whole), "last__": F.last("filled").over(whole)})
+    terms = [F.coalesce(F.lag("filled", reach - i).over(o), "first__") if i < reach else F.coalesce(F.lead("filled", i - reach).over(o), "last__") for i in range(len(w))]
+    df = df.withColumns({f"t{i}__": x for i, x in enumerate(terms)})
+    trend = sum((F.col(f"t{i}__") * x for i, x in enumerate(w)), F.lit(0.0))
+    df = df.withColumn("trend", F.when(F.col("first__").isNotNull(), trend)).drop("filled", "first__", "last__", *(f"t{i}__" for i in range(len(w))))
+    return df.withColumn("residual", F.col("value") - F.col("trend"))
+
+
+def gaussian_trend_hours(df: DataFrame, hours: float = 6.0) -> DataFrame:
+    """The same with a deviation in hours, by each series' step."""
+    steps = infer_step(df)
+    sizes = steps.select(*SERIES, F.greatest(F.lit(1), F.round(F.lit(hours) / F.greatest(F.lit(1), F.round(F.col("step_us") / HOUR)))).cast("int").alias("sigma__"))
+    return by_points(df.join(sizes, SERIES), "sigma__", gaussian_trend).drop("sigma__")

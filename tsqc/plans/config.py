@@ -65,6 +65,7 @@ class Settings:
     flat_slope_win: int = 25
     flat_slope_abs: float = 0.0
     dec_bins: int = 10
+    gaussian: bool = False  # trend and trend_residual in the result
     gauss_sigma_hours: float = 6.0
     rle: str = "compat"
     dedupe: str = "median"

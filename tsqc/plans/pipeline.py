@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsqc.functions.core import SERIES, is_finite, sanitize, yes
-from tsqc.operators import bands, checks, clean, regress, runs, stats, time_ops
+from tsqc.operators import bands, checks, clean, regress, runs, smooth, stats, time_ops
 from tsqc.plans.config import VARIABLES, Settings
 from tsqc.sources import readers, writers
 
@@ -62,6 +62,9 @@ def run(obs: DataFrame, settings: Settings | None = None, ranges: dict | None =
         spikes = regress.residual_outliers(regress.local_regression(source, "q_discharge" if st.discharge else None))
         out = out.join(spikes.select(*SERIES, "ts", "spike"), [*SERIES, "ts"], "left")
         bad = bad | yes(F.col("spike"))
+    if st.gaussian:
+        trend = smooth.gaussian_trend_hours(series, st.gauss_sigma_hours)
+        out = out.join(trend.select(*SERIES, "ts", "trend", F.col("residual").alias("trend_residual")), [*SERIES, "ts"], "left")
     out = out.withColumn("accepted", F.when(~bad, F.col("clean")))
     meta = (
         time_ops.infer_step(single)

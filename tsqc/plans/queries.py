@@ -414,7 +414,30 @@ def robust_residual_z(spark, d):
     return regress.residual_outliers(daily(spark, d), "value", 2.5).select("ts", F.round("z", 6).alias("z"), "spike")
 
 
-@query()
+def _regression_sql() -> str:
+    """The same fit: moments of the rows in reach about each row, elimination of time, sine and cosine, and substitution back."""
+    basis = ["1.0", "(j.days - i.days) / 90.0", "j.s", "j.c"]
+    moment = [f"sum(w * w * {basis[a]} * {basis[b]}) AS m{a}{b}" for a in range(4) for b in range(a, 4)]
+    right = [f"sum(w * w * {basis[a]} * j.value) AS r{a}" for a in range(4)]
+    weight = "exp(-pow((j.days - i.days) / 90.0, 2))"
+    sql = f""", o AS (SELECT min(epoch_us(ts)) AS first_us FROM daily), d AS (SELECT ts, value, (epoch_us(ts) - first_us) / 86400000000.0 AS days,
+      sin(2 * pi() * dayofyear(ts) / 365.25) AS s, cos(2 * pi() * dayofyear(ts) / 365.25) AS c FROM daily, o),
+    l0 AS (SELECT i.ts, i.s, i.c, {", ".join(moment + right)} FROM (SELECT i.ts AS its, j.ts AS jts, {weight} AS w FROM d i JOIN d j ON j.days BETWEEN i.days - {regress.reach()!r} AND i.days + {regress.reach()!r}) x
+      JOIN d i ON i.ts = x.its JOIN d j ON j.ts = x.jts WHERE w > 1e-3 AND j.value IS NOT NULL AND i.value IS NOT NULL GROUP BY i.ts, i.s, i.c HAVING count(*) >= 30)"""
+    m = lambda a, b: f"m{min(a, b)}{max(a, b)}"
+    back, left = [], [0, 1, 2, 3]
+    for level, p in enumerate((1, 2, 3)):
+        left = [a for a in left if a != p]
+        new = [f"{m(a, b)} - {m(a, p)} * {m(p, b)} / {m(p, p)} AS {m(a, b)}" for a in left for b in left if a <= b] + [f"r{a} - {m(a, p)} * r{p} / {m(p, p)} AS r{a}" for a in left]
+        own = [f"r{p} AS y{p}", f"{m(p, p)} AS y{p}{p}"] + [f"{m(a, p)} AS y{p}{a}" for a in left]
+        kept = [f"y{q}{x}" for q in (1, 2, 3)[:level] for x in ["", q, *(a for a in (0, 1, 2, 3) if a not in (1, 2, 3)[: (1, 2, 3).index(q) + 1])]]
+        sql += f", l{level + 1} AS (SELECT ts, s, c, {', '.join(new + own + kept)} FROM l{level})"
+    sql += ", b0 AS (SELECT *, r0 / m00 AS b0 FROM l3), b3 AS (SELECT *, (y3 - y30 * b0) / y33 AS b3 FROM b0), b2 AS (SELECT *, (y2 - y20 * b0 - y23 * b3) / y22 AS b2 FROM b3)"
+    sql += ", fitted AS (SELECT daily.ts, value, b0 + b2 * s + b3 * c AS yhat FROM daily LEFT JOIN b2 ON b2.ts = daily.ts), med AS (SELECT quantile_cont(value - yhat, 0.5) AS med FROM fitted), mad AS (SELECT quantile_cont(abs(value - yhat - med), 0.5) AS mad FROM fitted, med)"
+    return sql + " SELECT ts, value, round(yhat, 4) AS yhat, coalesce(abs((value - yhat - med) / (1.4826 * mad + 1e-9)) >= 4, false) AS spike FROM fitted, med, mad"
+
+
+@query(_regression_sql())
 def local_regression(spark, d):
     fitted = regress.residual_outliers(regress.local_regression(daily(spark, d)))
     return fitted.select("ts", "value", F.round("yhat", 4).alias("yhat"), "spike")
