@@ -58,7 +58,7 @@ def _is_furniture(name: str, attrs: str, in_article: bool) -> bool:
     """By the element, its role or its being hidden."""
     if name in FURNITURE or name == "header" and not in_article:
         return True
-    for key, *values in ATTRIBUTE.findall(attrs):
+    for key, *values in ATTRIBUTE.findall(attrs) if attrs else ():
         value = "".join(values).lower()
         key = key.lower()
         if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
@@ -127,13 +127,14 @@ def blocks(page: str) -> list[Block]:
         if name == "a":
             link = 0 if closing else 1
             continue
-        hard = not closing and _is_furniture(name, attrs, article > 0)
-        marks = _marks(name, attrs) if not closing else set()
-        if name in INLINE:
+        if name in INLINE and name != "span":
             if name in ("br", "img", "input", "wbr"):
                 parts.append(" ")
-            if name != "span" or not (closing or hard or marks):
-                continue
+            continue
+        hard = not closing and _is_furniture(name, attrs, article > 0)
+        marks = _marks(name, attrs) if attrs and not closing else set()
+        if name == "span" and not (closing or hard or marks):
+            continue
         end()
         link = 0
         if name in VOID:
