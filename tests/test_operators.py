@@ -225,10 +225,17 @@ def test_files_end_to_end(spark, tmp_path):
     assert wide.count() == 120
     assert {"SurfaceWaterpH_pH__raw", "SurfaceWaterConcentration_O2_mg_L-1__accepted", "SurfaceWaterConcentration_O2_mg_L-1__sm_flagged"} <= set(wide.columns)
     assert wide.filter("`SurfaceWaterConcentration_O2_mg_L-1__clean` > 8.15 AND `SurfaceWaterConcentration_O2_mg_L-1__accepted` IS NOT NULL").count() == 0
+    o2 = "SurfaceWaterConcentration_O2_mg_L-1"
+    assert wide.filter(f"`{o2}__clean` IS NOT NULL").count() == 119 and wide.filter(f"`{o2}__raw` > 8.15").count() == 40
+    assert 0 < wide.filter(f"`{o2}__accepted` IS NOT NULL").count() <= 79 and wide.filter(f"`{o2}__sm_flagged` IS NULL").count() == 0
+    assert wide.filter("SurfaceWaterpH_pH__clean = SurfaceWaterpH_pH__raw").count() == 120
     assert spark.read.csv(out["seasonal_all"], header=True).count() == 8
+    assert spark.read.csv(out[f"seasonal_{o2}"], header=True).count() == 4
+    assert {r["col"] for r in spark.read.csv(out["meta"], header=True).collect()} == {o2, "SurfaceWaterpH_pH"}
     assert run_file(spark, str(path), "A", ["absent"], str(tmp_path / "none")) is None
     csv = run_bands_file(spark, str(path), str(tmp_path / "bands.csv"), codes={columns[1]: 410})
-    assert "SurfaceWaterpH_pH__flag_global" in spark.read.csv(csv, header=True).columns
+    both = spark.read.csv(csv, header=True)
+    assert both.count() == 240 and both.filter("SurfaceWaterpH_pH__flag_global IS NULL").count() == 0
 
 
 def test_name_clash_is_an_error(spark):
@@ -303,3 +310,32 @@ def test_local_regression_equals_row_by_row(spark):
                 continue
             beta = np.linalg.lstsq(columns[use] * w[use, None], y[use] * w[use], rcond=None)[0]
             assert abs(got[i] - columns[i] @ beta) < 1e-6
+
+
+def test_bands_and_slopes_over_blocks_equal_whole_series(spark):
+    rng = np.random.default_rng(8)
+    v = [None if rng.random() < 0.05 else 8 + x for x in rng.normal(0, 0.3, 1500)]
+    v[700], v[999] = 20.0, 25.0
+    df = series(spark, v)
+    key = lambda x: [(r.ts, r.flag_reason, r.mask_pre, r.masked) for r in x.orderBy("ts").collect()]
+    whole, cut = key(bands.detect(df, 400)), key(bands.detect(df, 400, block_rows=131))
+    assert whole == cut and len(whole) == 1500 and any("flag_run1" in r[1] for r in whole)
+    slopes = [[r.slope for r in runs.rolling_slope(df, block_rows=n).orderBy("ts").collect()] for n in (50_000, 41)]
+    assert slopes[0] == pytest.approx(slopes[1], abs=1e-12) and len(slopes[0]) == 1500
+
+
+def test_band_export_keeps_each_row_of_a_time(spark, tmp_path):
+    path, name = tmp_path / "in.csv", "SurfaceWaterpH [pH]"
+    rows = [(START + dt.timedelta(minutes=15 * i), 7.0 + i % 2 * 0.01) for i in range(60)]
+    rows[30:30] = [(rows[30][0], 12.0)]  # a spike that shares its time with a good value
+    shuffled = random.Random(1).sample([r for r in rows if r != rows[30] and r != rows[31]], 59) + [rows[30], rows[31]]
+    path.write_text("\n".join([f"timestamp,{name}", *(f"{t.isoformat()},{x}" for t, x in shuffled)]))
+    got = spark.read.csv(run_bands_file(spark, str(path), str(tmp_path / "out"), codes={name: 410}, offsets={name: 0.5, "absent": 1.0}), header=True).collect()
+    assert [r["timestamp"] for r in got] == [t.isoformat() for t, _ in rows]
+    assert [float(r[name]) for r in got] == pytest.approx([x + 0.5 for _, x in rows])
+    flags = [r["SurfaceWaterpH_pH__flag_global"] for r in got]
+    assert flags[30] == "200" and flags.count("200") < 10 and flags[31] in ("100", "200")
+    both = (START + dt.timedelta(minutes=15 * 10)).isoformat(), (START + dt.timedelta(minutes=15 * 19)).isoformat()
+    assert spark.read.csv(run_bands_file(spark, str(path), str(tmp_path / "cut"), *both, codes={name: 410}), header=True).count() == 10
+    plain = spark.read.csv(run_bands_file(spark, str(path), str(tmp_path / "plain"), codes={"absent": 410}), header=True)
+    assert plain.columns == ["timestamp", name] and plain.count() == 61

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 SERIES = ["station", "variable"]
@@ -49,9 +50,9 @@ def year_phase(ts: Column) -> tuple[Column, Column]:
     return F.sin(angle), F.cos(angle)
 
 
-def ordered() -> Window:
-    """Rows of a series by time."""
-    return Window.partitionBy(*SERIES).orderBy("ts")
+def ordered(keys: Sequence[str] = SERIES, by: str = "ts") -> Window:
+    """Rows of a series by time; or those of a block of it, by their places."""
+    return Window.partitionBy(*keys).orderBy(by)
 
 
 def centred(k: int) -> tuple[int, int]:
@@ -71,7 +72,3 @@ def sanitize(name: str) -> str:
 
 def sanitized(c: Column) -> Column:
     return F.btrim(F.regexp_replace(c, r"[^A-Za-z0-9._-]+", "_"), F.lit("_"))
-
-
-def with_missing_null(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: missing_as_null(F.col(c)) for c in columns})

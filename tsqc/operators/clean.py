@@ -42,7 +42,3 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     """Per series: duplicates, all rows that share their time with another."""
     n = df.groupBy(*SERIES, "ts").agg(F.count(F.lit(1)).alias("n"))
     return n.groupBy(*SERIES).agg(F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("duplicates"))
-
-
-def duplicated(df: DataFrame) -> DataFrame:
-    return df.withColumn("is_duplicate", F.count(F.lit(1)).over(Window.partitionBy(*SERIES, "ts")) > 1)

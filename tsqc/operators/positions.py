@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,13 +17,14 @@ def with_pos(df: DataFrame) -> DataFrame:
     return df.withColumn("pos", F.row_number().over(Window.partitionBy(*SERIES).orderBy("ts")).cast("long") - 1)
 
 
-def with_pos_by_day(df: DataFrame) -> DataFrame:
-    """The same without a whole series in one task: counts by day, their running sum, and ranks within days."""
-    df = df.withColumn("day__", F.to_date("ts"))
+def with_pos_by_day(df: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
+    """The same without a whole series in one task: counts by day, their running sum, and ranks within days. Rows without a time
+    come first; the columns `ties` order rows of one time."""
+    df = df.withColumn("day__", F.coalesce(F.to_date("ts"), F.lit("0001-01-01").cast("date")))
     days = df.groupBy(*SERIES, "day__").agg(F.count(F.lit(1)).alias("n__"))
     before = days.withColumn("before__", F.coalesce(F.sum("n__").over(Window.partitionBy(*SERIES).orderBy("day__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n__")
     both = df.join(before, [*SERIES, "day__"])
-    rank = F.row_number().over(Window.partitionBy(*SERIES, "day__").orderBy("ts")).cast("long") - 1
+    rank = F.row_number().over(Window.partitionBy(*SERIES, "day__").orderBy("ts", *ties)).cast("long") - 1
     return both.withColumn("pos", F.col("before__") + rank).drop("day__", "before__")
 
 

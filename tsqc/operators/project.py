@@ -10,8 +10,9 @@ from tsqc.functions.core import is_finite
 N_PER_NO3 = 14.0 / 62.0  # mass of nitrogen in nitrate
 
 
-def station_equals(df: DataFrame, station: str | None) -> DataFrame:
-    return df if station is None or "station" not in df.columns else df.filter(F.col("station") == station)
+def station_equals(df: DataFrame, station: str | None, field: str | None = "station") -> DataFrame:
+    """All rows where there is no such field, or no station is asked for."""
+    return df if station is None or field not in df.columns else df.filter(F.col(f"`{field}`") == station)
 
 
 def between(df: DataFrame, start: str | None, end: str | None) -> DataFrame:

@@ -7,35 +7,39 @@ gives all but its last row, then its last row with what follows; a lone true row
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsqc.functions.core import SERIES, hours, is_finite, micros, ordered, yes
-from tsqc.operators.positions import with_pos
+from tsqc.operators.positions import over_blocks, with_pos, with_pos_by_day
 
+#: Rows of a block of slopes.
+BLOCK_ROWS = 50_000
 EVENT_COLUMNS = ["station", "variable", "type", "start", "end", "pre", "post", "pre_val", "post_val", "hours"]
 
 
-def rle(df: DataFrame, mask: str, mode: str = "compat") -> DataFrame:
-    """Per true run: start_pos and len. df has pos."""
+def rle(df: DataFrame, mask: str, mode: str = "compat", first: Sequence[str] = (), last: Sequence[str] = ()) -> DataFrame:
+    """Per true run: start_pos and len; start and end, its times (compat ends on the row past it, islands on its last row); and
+    the columns `first` of its first row and `last` of its last one. df has pos. One pass over the series, nothing is joined."""
     w = ordered()
     change = F.coalesce(F.col(mask) != F.lag(mask).over(w), F.lit(True))
     if mode == "islands":
         runs = df.withColumn("c__", change).withColumn("g__", F.sum(F.col("c__").cast("long")).over(w))
-        return runs.filter(F.col(mask)).groupBy(*SERIES, "g__").agg(F.min("pos").alias("start_pos"), F.count(F.lit(1)).alias("len")).drop("g__")
-    marked = df.select(*SERIES, "ts", "pos", F.col(mask).alias("m__"), change.alias("c__")).withColumn("d__", F.coalesce(F.lead("c__").over(w), F.lit(True)))
-    bounds = marked.filter("c__ != d__").withColumn("len", F.lead("pos").over(w) - F.col("pos"))
-    return bounds.filter("m__ AND len IS NOT NULL").select(*SERIES, F.col("pos").alias("start_pos"), "len")
+        return runs.filter(F.col(mask)).groupBy(*SERIES, "g__").agg(
+            F.min("pos").alias("start_pos"), F.count(F.lit(1)).alias("len"), F.min("ts").alias("start"), F.max("ts").alias("end"),
+            *[F.min_by(c, "pos").alias(c) for c in first], *[F.max_by(c, "pos").alias(c) for c in last],
+        ).drop("g__")
+    marked = df.select(*SERIES, "ts", "pos", F.col(mask).alias("m__"), change.alias("c__"), *first, *[F.lag(c).over(w).alias(c) for c in last])
+    bounds = marked.withColumn("d__", F.coalesce(F.lead("c__").over(w), F.lit(True))).filter("c__ != d__")
+    # The last row of a run comes right before the next bound.
+    bounds = bounds.withColumns({"len": F.lead("pos").over(w) - F.col("pos"), "end": F.lead("ts").over(w), **{c: F.lead(c).over(w) for c in last}})
+    return bounds.filter("m__ AND len IS NOT NULL").select(*SERIES, F.col("pos").alias("start_pos"), "len", F.col("ts").alias("start"), "end", *first, *last)
 
 
-def _timed(df: DataFrame, runs: DataFrame, mode: str, extra: dict[str, Column]) -> DataFrame:
-    """start and end times of runs, and extra columns of the first row. compat ends one row past the run, or on the last row."""
-    first = df.select(*SERIES, F.col("pos").alias("start_pos"), F.col("ts").alias("start"), *[c.alias(n) for n, c in extra.items()])
-    last = df.groupBy(*SERIES).agg(F.max("pos").alias("last_pos"))
-    past = F.col("start_pos") + F.col("len") - (1 if mode == "islands" else 0)
-    placed = runs.join(last, SERIES).withColumn("end_pos", F.least(past, F.col("last_pos")))
-    ends = df.select(*SERIES, F.col("pos").alias("end_pos"), F.col("ts").alias("end"))
-    return placed.join(first, [*SERIES, "start_pos"]).join(ends, [*SERIES, "end_pos"]).withColumn("hours", hours(F.col("start"), F.col("end"))).drop("last_pos", "end_pos")
+def _long(runs: DataFrame, min_hours: float) -> DataFrame:
+    return runs.withColumn("hours", hours(F.col("start"), F.col("end"))).filter(F.col("hours") >= min_hours)
 
 
 def flat_values(df: DataFrame, min_hours: float = 2.0, tol: float = 0.0, mode: str = "compat") -> DataFrame:
@@ -44,39 +48,44 @@ def flat_values(df: DataFrame, min_hours: float = 2.0, tol: float = 0.0, mode: s
     v, p = F.col("value"), F.lag("value").over(ordered())
     same = yes((F.abs(v - p) <= tol) | (~is_finite(v) & (v == p)))
     marked = df.withColumn("eq__", same)
-    return _timed(marked, rle(marked, "eq__", mode), mode, {"value": v}).filter(F.col("hours") >= min_hours)
+    return _long(rle(marked, "eq__", mode, first=["value"]), min_hours)
+
+
+def rolling_slope(df: DataFrame, win: int = 25, minp: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """slope: least squares of value on seconds in a centred window of rows, over blocks of rows."""
+    return _slopes(df, win, minp, block_rows).drop("pos")
 
 
-def rolling_slope(df: DataFrame, win: int = 25, minp: int | None = None) -> DataFrame:
-    """slope: least squares of value on seconds in a centred window of rows."""
+def _slopes(df: DataFrame, win: int, minp: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     h = max(3, win) // 2
     minp = max(5, win // 3) if minp is None else minp
-    start = F.min("ts").over(Window.partitionBy(*SERIES))
-    df = df.withColumn("sec__", micros(start, F.col("ts")) / F.lit(1e6)).withColumn("v__", F.when(is_finite(F.col("value")), F.col("value")))
-    w = ordered().rowsBetween(-h, h)
-    return df.withColumn("slope", F.when(F.count("v__").over(w) >= minp, F.expr("regr_slope(v__, sec__)").over(w))).drop("sec__", "v__")
+
+    def make(rows: DataFrame, keys: list[str]) -> DataFrame:
+        start = F.min("ts").over(Window.partitionBy(*keys))
+        rows = rows.withColumn("sec__", micros(start, F.col("ts")) / F.lit(1e6)).withColumn("v__", F.when(is_finite(F.col("value")), F.col("value")))
+        w = ordered(keys, "pos").rowsBetween(-h, h)
+        return rows.withColumn("slope", F.when(F.count("v__").over(w) >= minp, F.expr("regr_slope(v__, sec__)").over(w))).drop("sec__", "v__")
+
+    return over_blocks(with_pos_by_day(df), h, h, make, block_rows)
 
 
 def flat_slopes(df: DataFrame, min_hours: float = 2.0, win: int = 25, abs_slope: float = 0.0, mode: str = "compat") -> DataFrame:
-    df = with_pos(rolling_slope(df, win)).withColumn("flat__", yes(F.abs("slope") <= abs_slope))
-    return _timed(df, rle(df, "flat__", mode), mode, {"value": F.lit(0.0)}).filter(F.col("hours") >= min_hours)
+    marked = _slopes(df, win).withColumns({"flat__": yes(F.abs("slope") <= abs_slope), "value": F.lit(0.0)})
+    return _long(rle(marked, "flat__", mode, first=["value"]), min_hours)
 
 
 def binary_switches(df: DataFrame, zero_tol: float = 1e-12, min_dur: int = 1, mode: str = "compat") -> DataFrame:
     """Runs of zeros with finite neighbours of which at least one is not zero. A run at an end is its own neighbour there."""
-    df = with_pos(df).withColumn("zero__", is_finite(F.col("value")) & (F.abs("value") <= zero_tol))
-    runs = rle(df, "zero__", mode).filter(F.col("len") >= min_dur).withColumn("stop_pos", F.col("start_pos") + F.col("len") - 1)
     w = ordered()
-    near = df.select(
-        *SERIES, "pos", "ts", F.coalesce(F.lag("ts").over(w), F.col("ts")).alias("pre"), F.coalesce(F.lead("ts").over(w), F.col("ts")).alias("post"),
+    near = with_pos(df).select(
+        *SERIES, "ts", "pos", (is_finite(F.col("value")) & (F.abs("value") <= zero_tol)).alias("zero__"), F.col("ts").alias("stop"),
+        F.coalesce(F.lag("ts").over(w), F.col("ts")).alias("pre"), F.coalesce(F.lead("ts").over(w), F.col("ts")).alias("post"),
         F.when(F.lag("pos").over(w).isNull(), F.col("value")).otherwise(F.lag("value").over(w)).alias("pre_val"),
         F.when(F.lead("pos").over(w).isNull(), F.col("value")).otherwise(F.lead("value").over(w)).alias("post_val"),
     )
-    a = near.select(*SERIES, F.col("pos").alias("start_pos"), F.col("ts").alias("start"), "pre", "pre_val")
-    b = near.select(*SERIES, F.col("pos").alias("stop_pos"), F.col("ts").alias("end"), "post", "post_val")
-    both = runs.join(a, [*SERIES, "start_pos"]).join(b, [*SERIES, "stop_pos"])
+    found = rle(near, "zero__", mode, first=["pre", "pre_val"], last=["stop", "post", "post_val"]).filter(F.col("len") >= min_dur)
     good = is_finite(F.col("pre_val")) & is_finite(F.col("post_val")) & ((F.col("pre_val") != 0) | (F.col("post_val") != 0))
-    return both.filter(good).drop("stop_pos")
+    return found.filter(good).withColumn("end", F.col("stop")).drop("stop")
 
 
 def mask_from_runs(df: DataFrame, runs: DataFrame, name: str = "in_run") -> DataFrame:

@@ -49,4 +49,5 @@ def break_on_gaps(df: DataFrame, column: str = "value", factor: int = 10) -> Dat
 
 
 def years(df: DataFrame) -> DataFrame:
+    """Per series: the years of its first and its last row."""
     return df.groupBy(*SERIES).agg(F.year(F.min("ts")).alias("first_year"), F.year(F.max("ts")).alias("last_year"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,22 +19,22 @@ def min_count(k: int, share: float = 0.3) -> int:
     return max(3, math.ceil(share * k))
 
 
-def rolling(df: DataFrame, k: int, name: str, median: bool = False, column: str = "value", need: int | None = None) -> DataFrame:
+def rolling(df: DataFrame, k: int, name: str, median: bool = False, column: str = "value", need: int | None = None, keys: Sequence[str] = SERIES, by: str = "ts") -> DataFrame:
     """Adds <name>_ma (mean, or median) and <name>_sd (population deviation), NULL below `need` values."""
     need = min_count(k) if need is None else need
     lo, hi = centred(k)
-    w = ordered().rowsBetween(lo, hi)
+    o = ordered(keys, by)
+    w = o.rowsBetween(lo, hi)
     x = F.col(column)
     enough = F.count(x).over(w) >= need
     if k <= DIRECT:
         mean = F.expr(f"percentile({column}, 0.5)").over(w) if median else F.avg(x).over(w)
         return df.withColumns({f"{name}_ma": F.when(enough, mean), f"{name}_sd": F.when(enough, F.stddev_pop(x).over(w))})
-    # Running sums of values less the series' mean, so that little cancels; a window is a difference of two of them.
-    total = Window.partitionBy(*SERIES)
-    upto = ordered().rowsBetween(Window.unboundedPreceding, 0)
+    # Running sums of values less the mean of all, so that little cancels; a window is a difference of two of them.
+    total = Window.partitionBy(*keys)
+    upto = o.rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("c__", F.avg(x).over(total)).withColumn("x__", x - F.col("c__"))
     df = df.withColumns({"s1__": F.coalesce(F.sum("x__").over(upto), F.lit(0.0)), "s2__": F.coalesce(F.sum(F.col("x__") * F.col("x__")).over(upto), F.lit(0.0)), "n__": F.count("x__").over(upto)})
-    o = ordered()
 
     def between(c: str) -> Column:
         end = F.coalesce(F.lead(c, hi).over(o), F.last(c).over(o.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
@@ -50,9 +50,9 @@ def rolling(df: DataFrame, k: int, name: str, median: bool = False, column: str
     return out.drop("c__", "x__", "s1__", "s2__", "n__", "w1__", "w2__", "wn__")
 
 
-def triangular(df: DataFrame, name: str, column: str = "value", need: int = 3) -> DataFrame:
+def triangular(df: DataFrame, name: str, column: str = "value", need: int = 3, keys: Sequence[str] = SERIES, by: str = "ts") -> DataFrame:
     """The same with weights 1, 2, 3, 2, 1 over five rows; missing rows and those past the ends have no weight."""
-    o = ordered()
+    o = ordered(keys, by)
     xs = [F.lag(column, 2).over(o), F.lag(column, 1).over(o), F.col(column), F.lead(column, 1).over(o), F.lead(column, 2).over(o)]
     df = df.withColumn("t__", F.array(*xs))
     x = [F.get("t__", F.lit(i)) for i in range(5)]

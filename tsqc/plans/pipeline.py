@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tsqc.functions.core import SERIES, is_finite, sanitize, yes
 from tsqc.operators import bands, checks, clean, regress, runs, smooth, stats, time_ops
+from tsqc.operators.project import between
 from tsqc.plans.config import VARIABLES, Settings
 from tsqc.sources import readers, writers
 
@@ -107,12 +108,24 @@ def write(result: Result, station: str, base_out: str) -> dict[str, str]:
     }
 
 
-def run_bands_file(spark: SparkSession, csv_path: str, out_csv: str, start: str | None = None, end: str | None = None, codes: dict[str, int] | None = None) -> str:
-    """The band detector alone: no de-duplication; the full input with six columns per variable."""
+def run_bands_file(
+    spark: SparkSession, csv_path: str, out_csv: str, start: str | None = None, end: str | None = None, codes: dict[str, int] | None = None,
+    offsets: dict[str, float] | None = None,
+) -> str:
+    """The band detector alone: the full input by time, with six columns per variable.
+
+    Nothing is de-duplicated: each row, also of several at one time, has flags of its own, in file order within a time. Offsets are
+    added to columns, in the output too. Rows whose time can't be parsed have no place among the others and are left out.
+    """
     codes = codes or VARIABLES
-    wide = readers.read_csv(spark, csv_path, dedupe="none")
+    wide = readers.read_csv(spark, csv_path, dedupe="none").withColumn("place__", F.monotonically_increasing_id())
+    wide = between(wide, start, end)
+    for c, v in (offsets or {}).items():
+        if c in wide.columns:
+            wide = wide.withColumn(c, F.expr(f"try_cast(`{c}` AS double)") + float(v))
     found = [c for c in codes if c in wide.columns]
-    obs = readers.to_long(wide, found)
-    result = bands.detect_all(obs, {sanitize(c): codes[c] for c in found}, start=start, end=end)
-    export = bands.export_wide(result, [sanitize(c) for c in found]).drop("station")
-    return writers.write_csv(wide.join(export, "ts").drop("ts"), out_csv)
+    if found:
+        obs = readers.to_long(wide, found, keep=["place__"])
+        result = bands.detect_all(obs, {sanitize(c): codes[c] for c in found}, ties=["place__"])
+        wide = wide.join(bands.export_wide(result, [sanitize(c) for c in found], ["place__"]), "place__")
+    return writers.write_csv(wide.orderBy("ts", "place__").drop("ts", "place__"), out_csv)

@@ -194,12 +194,12 @@ def _zero(df):
 
 @query(bounds("SELECT * FROM cleaned", ZERO) + f"SELECT {S}, variable, start_pos, len FROM r")
 def rle_compat(spark, d):
-    return runs.rle(_zero(cleaned(spark, d)), "zero", "compat")
+    return runs.rle(_zero(cleaned(spark, d)), "zero", "compat").drop("start", "end")
 
 
 @query(bounds("SELECT * FROM cleaned", ZERO, "islands") + f"SELECT {S}, variable, start_pos, len FROM r")
 def rle_islands(spark, d):
-    return runs.rle(_zero(cleaned(spark, d)), "zero", "islands")
+    return runs.rle(_zero(cleaned(spark, d)), "zero", "islands").drop("start", "end")
 
 
 SWITCH = bounds("SELECT * FROM nulled", ZERO) + """, nb AS (SELECT variable, pos, ts, coalesce(lag(ts) OVER o, ts) AS pre, coalesce(lead(ts) OVER o, ts) AS post,
@@ -237,6 +237,21 @@ def flat_slopes(spark, d):
     return runs.flat_slopes(nulled(spark, d), abs_slope=1e-4).select("variable", "start", "end", F.round("hours", 6).alias("hours"))
 
 
+SEASON_RUNS = " SELECT v.variable, s.season, count(f.start) AS events FROM (SELECT DISTINCT variable FROM nulled) v CROSS JOIN (VALUES ('DJF'), ('MAM'), ('JJA'), ('SON')) s(season) LEFT JOIN f ON f.variable = v.variable AND " + SEASON.replace("(ts)", "(f.start)") + " = s.season GROUP BY ALL"
+
+
+@query(bounds(EQUALS + "nulled", "eq") + placed() + SEASON_RUNS)
+def season_flat_values(spark, d):
+    df = nulled(spark, d)
+    return stats.season_stats(df, flat_values=runs.flat_values(df)).select("variable", "season", F.col("flat_values_events").alias("events"))
+
+
+@query(bounds(SLOPES, "abs(slope) <= 1e-4") + placed("compat", "0.0") + SEASON_RUNS)
+def season_flat_slopes(spark, d):
+    df = nulled(spark, d)
+    return stats.season_stats(df, flat_slopes=runs.flat_slopes(df, abs_slope=1e-4)).select("variable", "season", F.col("flat_slopes_events").alias("events"))
+
+
 IN_RUN = bounds(EQUALS + "nulled", "eq") + placed() + "SELECT q.variable, q.ts, EXISTS (SELECT 1 FROM f WHERE f.variable = q.variable AND q.ts BETWEEN f.start AND f.\"end\") AS in_run FROM nulled q"
 
 
@@ -260,11 +275,21 @@ def events_union(spark, d):
 DEC = "least(9, greatest(0, " + " + ".join(f"(f >= {i * 0.1!r})::INT" for i in range(1, 10)) + "))"
 
 
-@query(f", f AS (SELECT variable, value % 1.0 AS f FROM cleaned WHERE value IS NOT NULL), b AS (SELECT variable, {DEC} AS bin FROM f), c AS (SELECT v.variable, i.i::INTEGER AS bin, (SELECT count(*) FROM b WHERE b.variable = v.variable AND b.bin = i.i) AS n FROM (SELECT DISTINCT variable FROM f) v CROSS JOIN range(10) i(i)) SELECT variable, bin, n, round(sum((n - t) * (n - t) / t) OVER (PARTITION BY variable), 6) AS chisq FROM (SELECT *, sum(n) OVER (PARTITION BY variable) / 10.0 AS t FROM c)")
+DEC_SQL = f", f AS (SELECT variable, value % 1.0 AS f FROM cleaned WHERE value IS NOT NULL), b AS (SELECT variable, {DEC} AS bin FROM f), c AS (SELECT v.variable, i.i::INTEGER AS bin, (SELECT count(*) FROM b WHERE b.variable = v.variable AND b.bin = i.i) AS n FROM (SELECT DISTINCT variable FROM f) v CROSS JOIN range(10) i(i))"
+
+
+@query(DEC_SQL + " SELECT variable, bin, n, round(sum((n - t) * (n - t) / t) OVER (PARTITION BY variable), 6) AS chisq FROM (SELECT *, sum(n) OVER (PARTITION BY variable) / 10.0 AS t FROM c)")
 def decimal_hist(spark, d):
     return figdata.decimal_histogram(cleaned(spark, d)).select("variable", "bin", "n", F.round("chisq", 6).alias("chisq"))
 
 
+@query(f"""{DEC_SQL.replace("cleaned", "ords")}, x AS (SELECT variable, sum((n - t) * (n - t) / t) AS x FROM (SELECT *, sum(n) OVER (PARTITION BY variable) / 10.0 AS t FROM c) GROUP BY variable)
+SELECT variable, round(x, 6) AS chisq, round(1 - (SELECT sum(exp((4.5 + k.k) * ln(x / 2) - x / 2 - lgamma(5.5 + k.k))) FROM range(400) k(k)), 9) AS p FROM x""")
+def decimal_p(spark, d):
+    """The p value; in SQL by the series of the incomplete gamma function."""
+    return stats.decimal_histogram(orders(spark, d)).select("variable", F.round("chisq", 6).alias("chisq"), F.round("p", 9).alias("p"))
+
+
 @query("SELECT variable, dom::INTEGER AS dom, round(n / total::DOUBLE, 9) AS frac FROM (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY n DESC, dom) AS k, sum(n) OVER (PARTITION BY variable) AS total FROM (SELECT variable, round_even((value % 1.0) * 100, 0) AS dom, count(*) AS n FROM lns WHERE value IS NOT NULL GROUP BY ALL)) WHERE k = 1")
 def dominant_decimal(spark, d):
     return stats.dominant_decimal(lines(spark, d)).select("variable", "dom", F.round("frac", 9).alias("frac"))
@@ -352,7 +377,8 @@ def _sensor_sql(code: int) -> str:
     return {400: "x IN (30, 25, 0) OR x >= 40 OR x IS NULL", 410: "x = 0 OR x >= 13 OR x IS NULL"}.get(code, "false")
 
 
-def _band_query(name: str, variable: str, code: int):
+def _band_sql(variable: str, code: int) -> tuple[str, str]:
+    """CTEs up to b4, which has the flags, and the columns made of them."""
     from tsqc.plans.config import sensor
 
     s = sensor(code)
@@ -379,25 +405,49 @@ def _band_query(name: str, variable: str, code: int):
     names = ["flag_sensor", *[f"flag_run{i}" for i in range(1, 6)]]
     any_flag = " OR ".join(names)
     reason = "concat_ws(' ', " + ", ".join(f"CASE WHEN {x} THEN '{x}' END" for x in names) + ")"
-    sql = f""", b0 AS (SELECT variable, ts, CASE WHEN value > 0 THEN value END AS raw, CASE WHEN value > 0 THEN value END {scale} AS x FROM injected WHERE variable = '{variable}'),
+    ctes = f""", b0 AS (SELECT variable, ts, CASE WHEN value > 0 THEN value END AS raw, CASE WHEN value > 0 THEN value END {scale} AS x FROM injected WHERE variable = '{variable}'),
 b1 AS (SELECT *, {", ".join(cols)}, count(x) OVER (ORDER BY ts ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) >= 3 AS sup FROM b0 WINDOW o AS (ORDER BY ts)),
 b2 AS (SELECT *, CASE WHEN {n} >= 3 THEN ({total}) / nullif({weight}, 0) END AS m5 FROM b1), b3 AS (SELECT *, CASE WHEN m5 IS NOT NULL THEN sqrt(({var}) / nullif({weight}, 0)) END AS s5 FROM b2),
-b4 AS (SELECT *, {", ".join(flags + tests)} FROM b3)
-SELECT variable, ts, {", ".join(names)}, CASE WHEN {any_flag} THEN 200 ELSE 100 END::INTEGER AS flag_global, {reason} AS flag_reason, CASE WHEN NOT ({any_flag}) THEN raw END AS masked,
-round(CASE WHEN sup THEN (m5 + {p5.above} + s5 * {p5.factor}) {back} END, 6) AS qcband_top, round(CASE WHEN sup THEN (m5 - {p5.below} - s5 * {p5.factor}) {back} END, 6) AS qcband_bottom FROM b4"""
+b4 AS (SELECT *, {", ".join(flags + tests)} FROM b3)"""
+    return ctes, f"""{", ".join(names)}, CASE WHEN {any_flag} THEN 200 ELSE 100 END::INTEGER AS flag_global, {reason} AS flag_reason, CASE WHEN NOT ({any_flag}) THEN raw END AS masked,
+round(CASE WHEN sup THEN (m5 + {p5.above} + s5 * {p5.factor}) {back} END, 6) AS qcband_top, round(CASE WHEN sup THEN (m5 - {p5.below} - s5 * {p5.factor}) {back} END, 6) AS qcband_bottom"""
+
 
+def _band_query(name: str, variable: str, code: int):
     def f(spark, d):
         out = bands.detect(injected(spark, d).filter(F.col("variable") == variable), code)
         return out.select("variable", "ts", *bands.FLAGS, "flag_global", "flag_reason", "masked", F.round("qcband_top", 6).alias("qcband_top"), F.round("qcband_bottom", 6).alias("qcband_bottom"))
 
+    ctes, columns = _band_sql(variable, code)
     f.__name__ = name
-    query(sql)(f)
+    query(f"{ctes} SELECT variable, ts, {columns} FROM b4")(f)
 
 
 for _variable, _code in CODES.items():
     _band_query(f"band_{_code}", _variable, _code)
 
 
+@query(" UNION ALL ".join(f"(WITH {_band_sql(v, c)[0][2:]} SELECT variable, ts, flag_global, masked FROM (SELECT variable, ts, {_band_sql(v, c)[1]} FROM b4))" for v, c in CODES.items()))
+def bands_of_all(spark, d):
+    """All sensor codes in one plan."""
+    return bands.detect_all(injected(spark, d), CODES).select("variable", "ts", "flag_global", "masked")
+
+
+@query(_band_sql("click", 400)[0] + f""", fl AS (SELECT variable, ts, {_band_sql("click", 400)[1]} FROM b4),
+g AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ts)) > 7200000000, false) AS is_gap FROM injected WHERE variable = 'click'),
+k AS (SELECT variable, ts, value AS raw, CASE WHEN value <> -9999 AND NOT is_gap THEN value END AS clean FROM g)
+SELECT variable, ts, raw, clean, flag_global = 200 AS sm_flagged, CASE WHEN flag_global = 100 THEN clean END AS accepted FROM k JOIN fl USING (variable, ts)""")
+def accepted_with_bands(spark, d):
+    """The pipeline where bands decide what is accepted."""
+    out = run_pipeline(injected(spark, d).filter("variable = 'click'"), Settings(apply_checks=False, accept_uses_bands=True), codes=CODES)
+    return out.timeseries.select("variable", "ts", "raw", "clean", "sm_flagged", "accepted")
+
+
+@query("SELECT variable, min(year(ts)) AS first_year, max(year(ts)) AS last_year FROM lns GROUP BY variable")
+def year_span(spark, d):
+    return time_ops.years(lines(spark, d)).select("variable", F.col("first_year").cast("long").alias("first_year"), F.col("last_year").cast("long").alias("last_year"))
+
+
 @query("SELECT variable, round(100 * avg((value > 0)::INT), 6) AS available_pct, round(100 * avg(coalesce(value > 30, false)::INT), 6) AS flagged_pct FROM (SELECT variable, CASE WHEN value > 0 THEN value END AS value FROM injected) GROUP BY variable".replace("avg((value > 0)::INT)", "avg((value IS NOT NULL)::INT)"))
 def availability(spark, d):
     df = injected(spark, d).withColumn("value", project.positive_only(F.col("value"))).withColumn("is_flagged", F.coalesce(F.col("value") > 30, F.lit(False)))
@@ -443,6 +493,13 @@ def local_regression(spark, d):
     return fitted.select("ts", "value", F.round("yhat", 4).alias("yhat"), "spike")
 
 
+@query(_regression_sql().replace(" SELECT ts, value, round(yhat, 4) AS yhat, ", " SELECT ts, value, CASE WHEN coalesce(abs((value - yhat - med) / (1.4826 * mad + 1e-9)) >= 4, false) THEN NULL ELSE value END AS accepted, "))
+def accepted_with_regression(spark, d):
+    """The pipeline where spikes against the local regression aren't accepted."""
+    out = run_pipeline(daily(spark, d), Settings(apply_checks=False, apply_bands=False, regression=True, gap_hours=1e9))
+    return out.timeseries.select("ts", F.col("raw").alias("value"), "spike", "accepted")
+
+
 def _gauss_sql(sigma: int) -> str:
     w = smooth.kernel(sigma)
     r = len(w) // 2

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tsqc.functions.core import SERIES, missing_as_null, sanitize
+from tsqc.operators.project import station_equals
 
 
 def read_csv(
@@ -20,8 +23,7 @@ def read_csv(
     df = spark.read.csv(path, header=True)
     if usecols:
         df = df.select(*[F.col(f"`{c}`") for c in df.columns if c in {*usecols, timestamp_col, station_field}])
-    if station_field in df.columns and station_value is not None:
-        df = df.filter(F.col(f"`{station_field}`") == station_value)
+    df = station_equals(df, station_value, station_field)
     text = F.col(f"`{timestamp_col}`").cast("string")
     # The wall clock counts: a fixed offset at the end is the station's own zone.
     ts = F.expr(f"try_cast(regexp_replace(`{timestamp_col}`, '(Z|[+-][0-9]{{2}}:?[0-9]{{2}})$', '') AS timestamp_ntz)")
@@ -36,18 +38,19 @@ def first_per_time(df: DataFrame, keys: list[str], order: str | None = None) ->
     return df.withColumn("place__", place).withColumn("rank__", F.row_number().over(w)).filter("rank__ = 1").drop("place__", "rank__")
 
 
-def to_long(df: DataFrame, columns: list[str], ts: str = "ts", station: str | None = None) -> DataFrame:
-    """(station, variable, ts, value) of those columns that are there; NaN and text that is no number become NULL."""
+def to_long(df: DataFrame, columns: list[str], ts: str = "ts", station: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(station, variable, ts, value) of those columns that are there, by their sanitized names, and the columns `keep`; NaN and text that is no number become
+    NULL."""
     found = [c for c in columns if c in df.columns]
     names = [sanitize(c) for c in found]
     if len(set(names)) < len(names):
         raise ValueError(f"names clash once sanitized: {sorted(names)}")
     if not found:
         return df.sparkSession.createDataFrame([], "station string, variable string, ts timestamp_ntz, value double")
-    values = F.array(*[F.struct(F.lit(c).alias("variable"), F.expr(f"try_cast(`{c}` AS double)").alias("value")) for c in found])
+    values = F.array(*[F.struct(F.lit(name).alias("variable"), F.expr(f"try_cast(`{c}` AS double)").alias("value")) for c, name in zip(found, names)])
     who = F.col(f"`{station}`").cast("string") if station in df.columns else F.lit(station or "")
-    long = df.select(who.alias("station"), F.col(ts).cast("timestamp_ntz").alias("ts"), F.inline(values))
-    return long.select(*SERIES, "ts", missing_as_null(F.col("value")).alias("value"))
+    long = df.select(who.alias("station"), F.col(ts).cast("timestamp_ntz").alias("ts"), *keep, F.inline(values))
+    return long.select(*SERIES, "ts", missing_as_null(F.col("value")).alias("value"), *keep)
 
 
 def long_from(df: DataFrame, variable: str, ts: str, value: str, station: str = "S1") -> DataFrame:
