@@ -289,6 +289,49 @@ def test_language_id_held_out(spark):
     assert {x.doc_id for x in got} == want
 
 
+def brute_bayes(rows, texts):
+    """Counting naive Bayes, one n-gram at a time in plain Python: (language, posterior) of each text."""
+    whole = (1 << 64) - 1
+
+    def grams(t):
+        t = "".join(c if c.isalpha() else " " for c in t.lower() + " ")
+        for i in range(len(t)):
+            for n in range(1, language_id.ORDERS + 1):
+                gram = [t[i - j] if i >= j else " " for j in range(n)]
+                if not "".join(gram).strip():
+                    continue
+                x = n - 1 + sum(ord(c) * (0x9E3779B97F4A7C15 * (2 * j + 3) & whole | 1) for j, c in enumerate(gram)) & whole
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    x = (x ^ x >> shift) * factor & whole
+                yield (x ^ x >> 31) % (language_id.BUCKETS - 1)
+
+    counts, docs = collections.defaultdict(collections.Counter), collections.Counter()
+    for t, lang in rows:
+        docs[lang] += 1
+        counts[lang].update(grams(t))
+    out = []
+    for t in texts:
+        if not any(c.isalpha() for c in t or ""):
+            out.append(("und", 0.0))
+            continue
+        like = {}
+        for lang in sorted(docs):
+            size = sum(counts[lang].values()) + 0.5 * (language_id.BUCKETS - 1)
+            like[lang] = np.log((docs[lang] + 1) / (sum(docs.values()) + len(docs))) + sum(np.log((counts[lang][g] + 0.5) / size) for g in grams(t))
+        best = max(sorted(like), key=like.get)
+        out.append((best, 1 / sum(np.exp(x - like[best]) for x in like.values())))
+    return out
+
+
+def test_language_id_equals_plain_counting(spark):
+    rows = [("The cat sat on the mat, and 3 dogs ran.", "en"), ("Where is the house of the man?", "en"), ("Der Hund läuft über die Straße.", "de"), ("Die Katze und das Haus", "de"), ("Le chat est sur la table", "fr"), ("Le chat est sur la table", "fr"), ("", "fr")]
+    texts = ["the hat", "das hat er", "la", "a", "x", "Straße!", "", None, " 12 \n", "chat", "日本", "the cat" * 50, "die die die the the"]
+    model = language_id.train(spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, text string, lang string"))
+    got = {x.doc_id: x for x in language_id.predict(table(spark, texts), model).collect()}
+    for i, (lang, score) in enumerate(brute_bayes(rows, texts)):
+        assert (got[i].lang_pred, got[i].score) == (lang, pytest.approx(score, abs=1e-4)), texts[i]
+
+
 def test_language_id_odd_rows(spark):
     df = table(spark, ODD).withColumnRenamed("source", "score")
     model = language_id.train(df)
