@@ -3,12 +3,11 @@
 Each document's ids, ended by id 0, are cut into full windows and one rest shorter than a window. Only the histogram of
 rests (at most `capacity` counts) comes to the driver. There each pattern takes the longest length left and the multiset
 of others that fills the window best, found by subset sums in a bitset and traced back to counts, and is applied as often
-as the counts allow. A rest finds its place by its rank within its length; ranks come from counts by (length, bucket),
-so no length is ever ranked in one task.
+as the counts allow. A rest finds its place by its rank within its length; ranks come from counts by (length, bucket), and
+each task deals its pieces to the buckets in turn, so no length is ever ranked in one task, nor are rows alike in all columns.
 
 Defined results: a null or empty text is the single id 0; repeated rows are packed each for itself; an empty table gives
-no rows; other columns do not matter. A window that stays below capacity at the end is filled to a power of two where
-some multiset allows it.
+no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -18,13 +17,14 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsqc.llm.common import mapped, stored
+from tsqc.llm.common import mapped, partitions, stored
 from tsqc.llm.tokens import encoder
 
-#: Parts into which each length is dealt for ranking.
+#: Parts into which each length is dealt for ranking, at least; with more partitions of input there are as many parts.
 RANK_BUCKETS = 256
 
 
@@ -60,13 +60,6 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], in
     while left:
         top = max(left)
         used = best_fill(left, capacity, top)
-        total = sum(k * n for k, n in used.items())
-        if total < capacity:
-            power = 1 << (total.bit_length() - 1)
-            if power >= top and power < total:
-                smaller = best_fill(left, power, top)
-                if sum(k * n for k, n in smaller.items()) == power:
-                    used = smaller
         times = min(left[k] // n for k, n in used.items())
         out.append((used, times))
         for k, n in used.items():
@@ -93,11 +86,13 @@ def placement(patterns: list[tuple[dict[int, int], int]]) -> dict[int, list[tupl
 
 
 def cut(df: DataFrame, json_path: str, rank_path: str, capacity: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per piece: doc_id, start, length, ids_crc32, doc_tokens."""
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, and bucket, in which it is ranked."""
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket long"
+    buckets = max(RANK_BUCKETS, partitions(df))
 
     def pieces(batches):
         enc = encoder(json_path, rank_path)
+        turn = TaskContext.get().partitionId() * 7919  # short tasks begin at different buckets
         for b in batches:
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo in range(0, len(texts), 512):
@@ -108,7 +103,10 @@ def cut(df: DataFrame, json_path: str, rank_path: str, capacity: int, doc_id: st
                         part = ids[start : start + capacity]
                         for column, v in zip(rows, (key, start, len(part), zlib.crc32(part), len(ids))):
                             column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                n = len(rows[0])
+                bucket = pa.array((turn + np.arange(n)) % buckets)
+                turn += n
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in rows), bucket], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket"])
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).transform(mapped, pieces, schema)
 
@@ -117,7 +115,7 @@ def pack(df: DataFrame, json_path: str, rank_path: str, capacity: int = 1024, do
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     pieces = stored(cut(df, json_path, rank_path, capacity, doc_id, text), "pieces")
     whole = pieces.filter(F.col("length") == capacity)
-    rest = pieces.filter(F.col("length") < capacity).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(RANK_BUCKETS)))
+    rest = pieces.filter(F.col("length") < capacity)
     counts = rest.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -126,7 +124,7 @@ def pack(df: DataFrame, json_path: str, rank_path: str, capacity: int = 1024, do
     sequences = sum(times for _, times in patterns)
     shared = df.sparkSession.sparkContext.broadcast(places)
     ranked = rest.join(before.select("length", "bucket", F.coalesce("before", F.lit(0)).alias("before")), ["length", "bucket"]).withColumn(
-        "rank", F.col("before") + F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "ids_crc32")) - 1
+        "rank", F.col("before") + F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "ids_crc32", "start")) - 1
     )
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
