@@ -264,6 +264,22 @@ def test_packing_round_trip(spark):
     assert packing.pack(table(spark, []), *queries._tokenizer()).count() == 0
 
 
+def test_packing_of_repeated_rows_and_rows_without_ids(spark):
+    texts, ids = [None] * 3000 + [prose(50, 1)] * 600, [None] * 3200 + [7] * 400
+    docs = table(spark, texts, ids).withColumns({x: F.lit("x") for x in ("bucket", "rank", "length", "a.b")})
+    stored = packing.cut(docs, *queries._tokenizer(), 1024).collect()
+    assert len({x.bucket for x in stored if x.length == 1}) == packing.RANK_BUCKETS
+    rows = packing.pack(docs, *queries._tokenizer(), capacity=1024).collect()
+    n = len(ids_of([prose(50, 1)])[0])
+    assert collections.Counter((x.doc_id, x.doc_tokens) for x in rows) == {(None, 1): 3000, (None, n): 200, (7, n): 400}
+    by_seq = collections.defaultdict(list)
+    for x in rows:
+        by_seq[x.sequence_id].append((x.offset, x.length))
+    for pieces in by_seq.values():
+        pieces.sort()
+        assert [at for at, _ in pieces] == [sum(m for _, m in pieces[:i]) for i in range(len(pieces))] and sum(pieces[-1]) <= 1024
+
+
 def test_best_fill_is_the_best():
     rnd = random.Random(2)
     for _ in range(50):
@@ -487,6 +503,17 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(table(spark, []), labels).count() == 0
 
 
+def test_mixing_says_when_targets_are_not_met(spark):
+    p = [[0.5, 0.5]] * 20  # both totals are always equal
+    members = spark.createDataFrame([(10, x) for x in p], "n long, p array<double>")
+    with pytest.warns(UserWarning, match="off its target"):
+        mixing.fit(members, 2, np.array([180.0, 20.0]), steps=6)
+    members = spark.createDataFrame([(10, x) for x in [[0.9, 0.1], [0.1, 0.9]] * 10], "n long, p array<double>")
+    history = mixing.fit(members, 2, np.array([150.0, 50.0]))
+    rates = mixing._rates(np.array([[0.9, 0.1], [0.1, 0.9]]), history)
+    assert 100 * rates @ np.array([[0.9, 0.1], [0.1, 0.9]]) == pytest.approx([150, 50], abs=0.01)
+
+
 def test_mixing_recall_of_each_domain_in_each_language(spark):
     sf = SF.replace("0.001", "0.1")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
