@@ -428,6 +428,13 @@ def test_media_round_trip(spark, tmp_path):
         x = rows[i]
         assert (x.n_bytes, x.payload_bytes, x.width * x.height) == (len(b), len(want), len(want))
         assert x.payload_sha256 == hashlib.sha256(want).hexdigest() and x.tail_crc32 == zlib.crc32(want[-32:])
+        with open(tmp_path / "media" / x.shard, "rb") as f:
+            f.seek(x.offset)
+            image = f.read(x.length)
+        assert media_columns.from_png(image) == want and x.media_bytes == x.length and x.media_sha256 == hashlib.sha256(image).hexdigest()
+        mean, shares = x.feature.split(":")
+        assert float(mean) == pytest.approx(sum(want) / len(want), abs=1e-4)
+        assert shares == ",".join(str(sum(v // 16 == k for v in want) * 1000 // len(want)) for k in range(16))
     assert rows[len(texts) - 1].media_sha256 == rows[len(texts) - 2].media_sha256
     for name in os.listdir(tmp_path / "media"):
         with tarfile.open(tmp_path / "media" / name) as tar:
@@ -437,6 +444,30 @@ def test_media_round_trip(spark, tmp_path):
     assert media_columns.media_columns(table(spark, []), f"file://{tmp_path}/none").count() == 0
 
 
+def test_media_of_null_ids_repeated_rows_and_clashing_names(spark, tmp_path):
+    rows = [(None, "one"), (None, "one"), (3, None), (3, ""), (4, "x" * 2_000_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({x: F.lit("x") for x in ("digest", "shard", "offset", "at", "a.b")})
+    got = media_columns.media_columns(df, f"file://{tmp_path}/m").collect()
+    assert sorted((str(x.doc_id), x.n_bytes, x.payload_bytes) for x in got) == [("3", 0, 576), ("3", 0, 576), ("4", 2_000_000, 2_000_448), ("None", 3, 576), ("None", 3, 576)]
+    assert len({(x.shard, x.offset) for x in got}) == 3
+
+
+def test_media_metadata_reads_headers_only(spark, tmp_path):
+    """Images that are cut off or overwritten after their header have the same width and height."""
+    texts = [prose(300, 1), prose(300, 2), None]
+    rows = media_columns.write_shards(table(spark, texts).coalesce(1), f"file://{tmp_path}/m").collect()
+    for x in rows:
+        with open(tmp_path / "m" / x.shard, "r+b") as f:
+            f.seek(x["at"] + media_columns.HEADER)
+            f.write(b"?" * (x.length - media_columns.HEADER))
+    index = spark.createDataFrame([(x.digest, x.shard, x["at"], x.length) for x in rows], "digest binary, shard string, at long, length long")
+    got = {bytes(x.digest): x.width * x.height for x in media_columns.metadata(index, f"file://{tmp_path}/m").collect()}
+    assert got == {hashlib.sha256(media_columns.padded((t or "").encode())).digest(): len(media_columns.padded((t or "").encode())) for t in texts}
+    few = media_columns.media_columns(table(spark, texts), f"file://{tmp_path}/n", features=False)
+    assert {"shard", "offset", "length", "width", "height", "payload_sha256"} <= set(few.columns) and "feature" not in few.columns
+    assert {x.doc_id: x.width * x.height for x in few.collect()} == {i: len(media_columns.padded((t or "").encode())) for i, t in enumerate(texts)}
+
+
 def test_html_extraction(spark):
     long = "the cat and the dog of a house is on this way to be " * 4
     page = f"""<html><head><title>T</title><style>p>a{{}}</style></head><body><header>Site</header><nav><a href=/>Home</a></nav>

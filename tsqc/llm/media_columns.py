@@ -3,8 +3,8 @@
 Each text's bytes, padded with bytes 255 to a positive multiple of UNIT, are the 8-bit samples of a grey PNG image UNIT
 samples wide. Each map task writes one tar shard in the shared folder with the images it meets, each digest once; rows
 carry digest, shard, offset and length. Where several tasks wrote one digest, the first shard by name counts for all
-rows. Images are read back by ranges: the header alone fills width and height, the whole range the features. Shards
-are opened by their URI, so the shared folder may be any store that pyarrow reads.
+rows. Images are read back by ranges: the header alone fills width and height, the whole range the features; without
+features nothing but headers is read. Shards are opened by their URI, so the shared folder may be any store that pyarrow reads.
 
 Defined results: a null text is empty, that is UNIT bytes 255; equal texts give equal values; an empty table gives an
 empty table; only the id and the text are read from other columns. A lost executor's tasks write new shards: names are
@@ -141,6 +141,20 @@ class Shards:
         self.name = self.file = None
 
 
+def metadata(index: DataFrame, root: str) -> DataFrame:
+    """Per row (digest, shard, at, length) of index: its place, width and height. HEADER bytes of each image are all that is read."""
+
+    def get(batches: Iterator[pa.RecordBatch]):
+        shards = Shards(root)
+        for b in batches:
+            sizes = [header(shards.read(shard, at, HEADER)) for shard, at in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            width, height = (pa.array([x[i] for x in sizes], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*b.columns, width, height], ["digest", "shard", "offset", "length", "width", "height"])
+        shards.close()
+
+    return index.select("digest", "shard", "at", "length").transform(mapped, get, "digest binary, shard string, offset long, length long, width long, height long")
+
+
 def read_back(index: DataFrame, root: str) -> DataFrame:
     """Per row (digest, shard, at, length) of index, put in the order of the shards: its place, the metadata from the image's
     header, and what its bytes give. Digests stay binary; digest is that of the bytes read."""
@@ -170,13 +184,15 @@ def read_back(index: DataFrame, root: str) -> DataFrame:
     )
 
 
-def media_columns(df: DataFrame, root: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes, digest, shard, offset, length, width, height and what read_back gives."""
+def media_columns(df: DataFrame, root: str | None = None, doc_id: str = "doc_id", text: str = "text", features: bool = True) -> DataFrame:
+    """Per row: doc_id, n_bytes, payload_sha256, digest, shard, offset, length, width, height; with features also what read_back gives."""
     spark = df.sparkSession
     root = root or new_path(spark, "media")
     rows = stored(write_shards(df, root, doc_id, text), "media_rows")
     first = rows.groupBy("digest").agg(F.min(F.struct("shard", "at", "length")).alias("x")).select("digest", "x.*")
     # Ranges in order within each task: a shard is read through, not sought through.
-    found = stored(read_back(first.repartitionByRange("shard", "at").sortWithinPartitions("shard", "at"), root), "media_found")
-    hexed = lambda c: F.lower(F.hex(c))
-    return rows.select("doc_id", "n_bytes", "digest").join(found, "digest").withColumns({"payload_sha256": hexed("digest"), "media_sha256": hexed("media_digest")}).drop("media_digest")
+    read = read_back if features else metadata
+    found = stored(read(first.repartitionByRange("shard", "at").sortWithinPartitions("shard", "at"), root), "media_found")
+    hexed = {"payload_sha256": "digest", "media_sha256": "media_digest"} if features else {"payload_sha256": "digest"}
+    out = rows.select("doc_id", "n_bytes", "digest").join(found, "digest")
+    return out.withColumns({name: F.lower(F.hex(c)) for name, c in hexed.items()}).drop("media_digest")

@@ -58,7 +58,7 @@ def op7_media_columns(spark, sf_dir):
     from tsqc.llm import media_columns
 
     found = media_columns.media_columns(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "length", "width", "height")
 
 
 def op8_html_extraction(spark, sf_dir):
