@@ -348,6 +348,18 @@ def test_language_id_equals_plain_counting(spark):
         assert (got[i].lang_pred, got[i].score) == (lang, pytest.approx(score, abs=1e-4)), texts[i]
 
 
+def test_language_id_learns_rare_languages_from_a_bounded_sample(spark):
+    """One row in two hundred is of a language of its own, under a bound of a tenth of the rows; ties and repeated rows too."""
+    rare = "це мова якої дуже мало рядків у таблиці"
+    rows = [(i, f"слово {i} " + rare if i % 200 == 7 else "the words of a common text " * 2, "uk" if i % 200 == 7 else "en") for i in range(4000)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), bound=400)
+    assert model.languages == ["en", "uk"] and np.exp(model.prior) == pytest.approx([3981 / 4002, 21 / 4002])
+    got = language_id.predict(table(spark, [rare, "мало рядків", "common words", rare, rare]), model).collect()
+    assert [x.lang_pred for x in sorted(got, key=lambda x: x.doc_id)] == ["uk", "uk", "en", "uk", "uk"]
+    even = language_id.train(spark.createDataFrame([(1, "abc", "b"), (2, "abc", "a")], "doc_id long, text string, lang string"))
+    assert [(x.lang_pred, x.score) for x in language_id.predict(table(spark, ["abc", "abc"]), even).collect()] == [("a", 0.5)] * 2
+
+
 def test_language_id_odd_rows(spark):
     df = table(spark, ODD).withColumnRenamed("source", "score")
     model = language_id.train(df)

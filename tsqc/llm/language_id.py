@@ -23,7 +23,8 @@ BUCKETS = 1 << 16
 MATRIX_BYTES = 128 << 20
 #: Characters scored at once; only a longer text exceeds it.
 RUN_CHARS = 1 << 18
-#: Labelled documents that training may use: those with the smallest share of a hash of their id, about so many.
+#: Labelled documents that training may use: of each language those with the smallest hashes of their ids, about an equal share of so many; a
+#: language with fewer is used whole.
 TRAIN_BOUND = 20_000
 
 _LETTERS: list[np.ndarray] = []
@@ -88,19 +89,21 @@ class Model:
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", bound: int = TRAIN_BOUND) -> Model:
-    """Learns from rows with a text and a language, of which a sample by id hash of about bound rows is used."""
+    """Learns from rows with a text and a language, of which a sample of about bound rows is used, by id hash within each language.
+    How often languages are is learned from all rows."""
     rows = df.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id)).alias("h")
     )
-    about = rows.select("lang").groupBy("lang").count().collect()
-    total = sum(r["count"] for r in about)
-    languages = sorted(r["lang"] for r in about)
-    if not total:
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    languages = sorted(sizes)
+    if not languages:
         return Model([], np.zeros((2, 0), np.float32), np.zeros(0))
     buckets = max(2, min(BUCKETS, MATRIX_BYTES // (4 * len(languages))))
-    if total > bound:
-        part = 1_000_000
-        rows = rows.filter(F.pmod("h", F.lit(part)) < int(part * bound / total))
+    if sum(sizes.values()) > bound:
+        part = 1 << 30
+        # A row for each language, as many as the matrix has columns.
+        limits = df.sparkSession.createDataFrame([(x, int(part * min(1.0, bound / len(sizes) / n))) for x, n in sizes.items()], "lang string, upto long")
+        rows = rows.join(F.broadcast(limits), "lang").filter(F.pmod("h", F.lit(part)) < F.col("upto"))
 
     def count(batches):
         found: dict[str, np.ndarray] = {}
@@ -108,20 +111,19 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
             texts, labels = b.column(0).to_pylist(), b.column(1).to_pylist()
             for label in set(labels):
                 for _, run in _runs([t for t, x in zip(texts, labels) if x == label]):
-                    have = found.setdefault(label, np.zeros(buckets + 1, np.int64))
+                    have = found.setdefault(label, np.zeros(buckets, np.int64))
                     for g in _grams(run, buckets)[0]:
-                        have[:buckets] += np.bincount(g, minlength=buckets)
-                    have[buckets] += len(run)
+                        have += np.bincount(g, minlength=buckets)
         for label, have in found.items():
             at = np.flatnonzero(have)
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(at)), pa.array(at), pa.array(have[at])], ["lang", "bucket", "n"])
 
     counts = rows.select("text", "lang").transform(mapped, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     at = {x: i for i, x in enumerate(languages)}
-    table = np.zeros((buckets + 1, len(languages)))
+    table = np.zeros((buckets, len(languages)))
     where = np.array([at[x] for x in counts["lang"].to_pylist()], np.int64)
     table[counts["bucket"].to_numpy(), where] = counts["n"].to_numpy()
-    docs, table = table[buckets] + 1, table[:buckets] + 0.5
+    docs, table = np.array([sizes[x] for x in languages]) + 1, table + 0.5
     table[0] = 1  # n-grams without a letter say nothing
     log_prob = np.log(table / table[1:].sum(0))
     log_prob[0] = 0
