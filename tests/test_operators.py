@@ -143,6 +143,25 @@ def test_checks(spark):
     assert all(c is not None for r in got for c in r)
 
 
+def test_checks_of_rows_of_one_time(spark):
+    """Rows of one time stand in the order of their values, whatever order they arrive in."""
+    rows = []
+    for i in range(240):
+        at = START + dt.timedelta(minutes=15 * i)
+        rows.append(("s", "v", at, 10.0 + 0.1 * (i % 3), 2 * i))
+        if i % 20 == 10:
+            rows.append(("s", "v", at, 80.0, 2 * i + 1))
+    # Each reading of the source gives its rows in another order, as fetches of a shuffle may.
+    df = spark.createDataFrame(rows, SCHEMA + ", place long").coalesce(1).mapInPandas(lambda parts: (p.sample(frac=1) for p in parts), SCHEMA + ", place long")
+    got = {r.place: r for r in checks.suite(df).collect()}
+    assert len(got) == len(rows)
+    for i in range(240):
+        assert not got[2 * i].zscore and got[2 * i].jumps == (i % 20 == 11)
+        if i % 20 == 10:
+            odd = got[2 * i + 1]
+            assert odd.zscore and odd.jumps and odd.suite and not got[2 * i].suite
+
+
 def test_isolated_alone(spark):
     df = series(spark, [1, 2, 3, 4, 5, 6], times=[0, 15, 400, 415, 800, 815])
     got = [r.isolated for r in checks.check_isolated(df, group_hours=1.0, mode="islands").orderBy("ts").collect()]

@@ -50,7 +50,11 @@ def year_phase(ts: Column) -> tuple[Column, Column]:
     return F.sin(angle), F.cos(angle)
 
 
-def ordered(keys: Sequence[str] = SERIES, by: str = "ts") -> Window:
+#: Rows of one time stand in the order of their values, so that each reading of a series places them alike.
+BY_TIME = ["ts", "value"]
+
+
+def ordered(keys: Sequence[str] = SERIES, by: str | list[str] = "ts") -> Window:
     """Rows of a series by time; or those of a block of it, by their places."""
     return Window.partitionBy(*keys).orderBy(by)
 

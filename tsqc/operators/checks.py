@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsqc.functions.core import HOUR, SERIES, is_finite, micros, ordered, points, yes
+from tsqc.functions.core import BY_TIME, HOUR, SERIES, is_finite, micros, ordered, points, yes
 from tsqc.operators.positions import with_pos
 from tsqc.operators.runs import flat_values, mask_from_runs, rle
 from tsqc.operators.stats import any_of
@@ -41,7 +41,7 @@ def _sliding(df: DataFrame, variance_hours: float | None, zscore_hours: float |
     names = [n for n, h in (("variance", variance_hours), ("zscore", zscore_hours)) if h is not None]
     hours = [h for h in (variance_hours, zscore_hours) if h is not None]
     lengths = infer_step(df).select(*SERIES, *(points(h, F.col("step_us")).alias(f"k_{n}__") for n, h in zip(names, hours)))
-    rows = with_pos(df)
+    rows = with_pos(df, ["value"])
     reach = F.greatest(*(F.col(f"k_{n}__") * (2 if n == "zscore" else 1) for n in names), F.lit(1))
     block = lambda at: F.floor(at / block_rows)
     near = F.sequence(F.greatest(block(F.col("pos") - reach), F.lit(0)), block(F.col("pos") + reach))
@@ -95,14 +95,14 @@ def check_windows(df: DataFrame, variance_hours: float = 6.0, zscore_hours: floa
 
 
 def check_jumps(df: DataFrame, threshold: float = 5.0) -> DataFrame:
-    return df.withColumn("jumps", yes(F.abs(F.col("value") - F.lag("value").over(ordered())) >= threshold))
+    return df.withColumn("jumps", yes(F.abs(F.col("value") - F.lag("value").over(ordered(by=BY_TIME))) >= threshold))
 
 
 def check_isolated(df: DataFrame, gap_hours: float = 3.0, group_hours: float = 0.5, mode: str = "compat") -> DataFrame:
     """Short runs of finite rows with a gap before their first row and one after them."""
-    o = ordered()
+    o = ordered(by=BY_TIME)
     step = infer_step(df).select(*SERIES, points(group_hours, F.col("step_us")).alias("most__"))
-    df = with_pos(df)
+    df = with_pos(df, ["value"])
     marked = df.withColumns({
         "fin__": is_finite(F.col("value")),
         "gap__": yes(micros(F.lag("ts").over(o), F.col("ts")) > F.lit(int(gap_hours * HOUR))),

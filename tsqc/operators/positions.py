@@ -12,9 +12,9 @@ from tsqc.functions.core import SERIES
 BLOCK_ROWS = 200_000
 
 
-def with_pos(df: DataFrame) -> DataFrame:
-    """pos: 0, 1, ... by time in each series."""
-    return df.withColumn("pos", F.row_number().over(Window.partitionBy(*SERIES).orderBy("ts")).cast("long") - 1)
+def with_pos(df: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
+    """pos: 0, 1, ... by time in each series; the columns `ties` order rows of one time."""
+    return df.withColumn("pos", F.row_number().over(Window.partitionBy(*SERIES).orderBy("ts", *ties)).cast("long") - 1)
 
 
 def with_pos_by_day(df: DataFrame, ties: Sequence[str] = ()) -> DataFrame:

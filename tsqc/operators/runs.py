@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsqc.functions.core import SERIES, hours, is_finite, micros, ordered, yes
+from tsqc.functions.core import BY_TIME, SERIES, hours, is_finite, micros, ordered, yes
 from tsqc.operators.positions import over_blocks, with_pos, with_pos_by_day
 
 #: Rows of a block of slopes.
@@ -44,8 +44,8 @@ def _long(runs: DataFrame, min_hours: float) -> DataFrame:
 
 def flat_values(df: DataFrame, min_hours: float = 2.0, tol: float = 0.0, mode: str = "compat") -> DataFrame:
     """Runs of rows that equal the row before them, of min_hours at least."""
-    df = with_pos(df)
-    v, p = F.col("value"), F.lag("value").over(ordered())
+    df = with_pos(df, ["value"])
+    v, p = F.col("value"), F.lag("value").over(ordered(by=BY_TIME))
     same = yes((F.abs(v - p) <= tol) | (~is_finite(v) & (v == p)))
     marked = df.withColumn("eq__", same)
     return _long(rle(marked, "eq__", mode, first=["value"]), min_hours)
